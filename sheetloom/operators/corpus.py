@@ -73,9 +73,11 @@ def nearest(df: DataFrame, corpus: DataFrame, ids: Sequence[str] = ("doc_id",),
 def scan_markers(df: DataFrame, ids: Sequence[str] = ("doc_id",), text: str = "text",
                  markers: Sequence[tuple[str, str]] = MARKERS) -> DataFrame:
     """Every match of every marker ``(ids, label, matched)``, in one narrow pass."""
-    found = [F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)),
-                         lambda m, label=label: F.struct(F.lit(label).alias("label"), m.alias("matched")))
-             for label, p in markers]
+    def hits(label: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)),
+                           lambda m: F.struct(F.lit(label).alias("label"), m.alias("matched")))
+
+    found = [hits(label, pattern) for label, pattern in markers]
     return df.select(*ids, F.inline(F.concat(*found)))
 
 
