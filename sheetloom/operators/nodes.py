@@ -10,7 +10,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 8
+MAX_DEPTH = 16
+
+# One level of a document is an array of nodes; opening it reads the members of its
+# containers, which are the next level.
+_OPENED = """transform({level}, n -> named_struct('path', n.path, 'rule_path', n.rule_path,
+  'parent_path', n.parent_path, 'depth', n.depth, 'pos', n.pos, 'v', n.v,
+  'm', try_cast(n.v as map<string,variant>), 'a', try_cast(n.v as array<variant>)))"""
+_MEMBERS = """flatten(transform(filter({level}, n -> n.m is not null or n.a is not null), n -> coalesce(
+  transform(map_entries(n.m), e -> named_struct('path', concat(n.path, '/', e.key),
+    'rule_path', concat(n.rule_path, '/', e.key), 'parent_path', n.path, 'depth', n.depth + 1,
+    'pos', cast(null as bigint), 'v', e.value)),
+  transform(n.a, (x, i) -> named_struct('path', concat(n.path, '/', i),
+    'rule_path', concat(n.rule_path, '/*'), 'parent_path', n.path, 'depth', n.depth + 1,
+    'pos', cast(i as bigint), 'v', x)))))"""
+_CLOSED = """transform({level}, n -> named_struct('path', n.path, 'rule_path', n.rule_path,
+  'parent_path', n.parent_path, 'depth', n.depth, 'pos', n.pos,
+  'box', case when n.m is not null then 'object' when n.a is not null then 'array' end,
+  'n_children', cast(case when n.m is not null then size(n.m) when n.a is not null then size(n.a) end as bigint),
+  'v', n.v))"""
 
 
 def nodes(docs: DataFrame, doc: str = "doc", ids: Sequence[str] = ("doc_id",),
@@ -20,57 +38,32 @@ def nodes(docs: DataFrame, doc: str = "doc", ids: Sequence[str] = ("doc_id",),
     Columns: ids, ``path`` (slash path, array positions as segments, root ''),
     ``rule_path`` (the same with ``*`` for positions), ``parent_path``, ``depth``,
     ``pos`` (array elements only), ``kind``, ``n_children`` and the VARIANT ``v``.
-    Each step replaces an unopened container by itself and its children.  A
-    document nested deeper than ``max_depth`` is an error, not a cut.
+    Levels unfold as arrays beside the row and explode once at the end.  A document
+    nested deeper than ``max_depth`` is an error, not a cut.
     """
     ids = list(ids)
-    null_s, null_n = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    cur = docs.filter(F.col(doc).isNotNull()).select(*ids, F.struct(
-        F.lit("").alias("path"), F.lit("").alias("rule_path"), null_s.alias("parent_path"),
-        F.lit(0).cast("bigint").alias("depth"), null_n.alias("pos"), null_s.alias("box"),
-        null_n.alias("n_children"), F.col(doc).alias("v")).alias("n"))
+    root = ("array(named_struct('path', '', 'rule_path', '', 'parent_path', cast(null as string), "
+            f"'depth', 0L, 'pos', cast(null as bigint), 'v', {doc}))")
+    cur = docs.filter(F.col(doc).isNotNull()).selectExpr(*ids, f"{_OPENED.format(level=root)} as _open")
+    done: list[str] = []
     for d in range(max_depth):
-        cur = _open(cur, ids, d)
-    out = cur.select(*ids, "n.*")
-    text = F.to_json("v")
-    scalar = (F.when(F.col("v").isNull() | (text == "null"), "null")
-              .when(text.startswith('"'), "string").when(text.isin("true", "false"), "boolean")
-              .when((F.col("depth") >= max_depth) & (text.startswith("{") | text.startswith("[")), F.raise_error(
-                  F.lit(f"document nested deeper than max_depth={max_depth}")).cast("string"))
-              .when(text.rlike(r"^-?\d+$"), "integer").otherwise("number"))
-    return out.select(*ids, "path", "rule_path", "parent_path", "depth", "pos",
-                      F.when(F.col("box").isNotNull(), F.col("box")).otherwise(scalar).alias("kind"),
-                      "n_children", "v")
-
-
-def _open(cur: DataFrame, ids: list[str], depth: int) -> DataFrame:
-    due = f"n.depth = {depth}"
-    cur = cur.withColumn("_map", F.expr(f"if({due}, try_cast(n.v as map<string,variant>), null)"))
-    cur = cur.withColumn("_arr", F.expr(f"if({due} and _map is null, try_cast(n.v as array<variant>), null)"))
-    box = F.when(F.col("_map").isNotNull(), "object").when(F.col("_arr").isNotNull(), "array").otherwise(F.col("n.box"))
-    own = F.struct("n.path", "n.rule_path", "n.parent_path", "n.depth", "n.pos", box.alias("box"),
-                   F.when(F.col("_map").isNotNull(), F.size("_map"))
-                   .when(F.col("_arr").isNotNull(), F.size("_arr"))
-                   .otherwise(F.col("n.n_children")).cast("bigint").alias("n_children"), F.col("n.v").alias("v"))
-
-    def child(step: Column, rule: Column, pos: Column, value: Column) -> Column:
-        return F.struct(
-            F.concat(F.col("n.path"), F.lit("/"), step).alias("path"),
-            F.concat(F.col("n.rule_path"), F.lit("/"), rule).alias("rule_path"),
-            F.col("n.path").alias("parent_path"), F.lit(depth + 1).cast("bigint").alias("depth"),
-            pos.alias("pos"), F.lit(None).cast("string").alias("box"),
-            F.lit(None).cast("bigint").alias("n_children"), value.alias("v"))
-
-    fields = F.transform(F.map_entries("_map"), lambda e: child(
-        e["key"], e["key"], F.lit(None).cast("bigint"), e["value"]))
-    elements = F.transform("_arr", lambda x, i: child(
-        i.cast("string"), F.lit("*"), i.cast("bigint"), x))
-    inside = F.coalesce(fields, elements, F.array().cast(_node_array(cur)))
-    return cur.select(*ids, F.explode(F.concat(F.array(own), inside)).alias("n"))
-
-
-def _node_array(cur: DataFrame) -> str:
-    return f"array<{cur.schema['n'].dataType.simpleString()}>"
+        members = _OPENED.format(level=_MEMBERS.format(level="_open"))
+        cur = cur.selectExpr(*ids, *done, f"{_CLOSED.format(level='_open')} as _l{d}", f"{members} as _open")
+        done.append(f"_l{d}")
+    too_deep = "exists(_open, n -> coalesce(size(n.m), 0) > 0 or coalesce(size(n.a), 0) > 0)"
+    last = (f"if({too_deep}, raise_error('document nested deeper than max_depth={max_depth}'), "
+            f"{_CLOSED.format(level='_open')})")
+    cur = cur.selectExpr(*ids, f"explode(concat({', '.join(done)}, {last})) as n")
+    # the text is read several times, so it is a column of its own
+    scalar = cur.select(*ids, "n.*", F.when(F.col("n.box").isNull(), F.coalesce(F.to_json("n.v"), F.lit("null"))).alias("_t"))
+    return scalar.select(*ids, "path", "rule_path", "parent_path", "depth", "pos",
+                         F.coalesce("box", _scalar_kind(F.col("_t"))).alias("kind"), "n_children", "v")
+
+
+def _scalar_kind(text: Column) -> Column:
+    first = F.left(text, F.lit(1))
+    return (F.when(first == '"', "string").when(first == "n", "null").when(first.isin("t", "f"), "boolean")
+            .when(text.rlike(r"^-?\d+$"), "integer").otherwise("number"))
 
 
 def value_text(kind: Column, v: Column) -> Column:

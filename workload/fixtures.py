@@ -20,6 +20,15 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-local work on a table that is one small file.
+
+    A table of many splits has partitions enough and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---- SQL helpers --------------------------------------------------------------
 
 def sql_strip(x: str) -> str:
@@ -55,7 +64,7 @@ DIRTY_SQL = f"dirty as (select doc_id, lang, source, {DIRTY} as t from documents
 
 
 def dirty(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", "lang", "source", F.expr(DIRTY).alias("t"))
+    return spread(read(spark, d, "documents")).select("doc_id", "lang", "source", F.expr(DIRTY).alias("t"))
 
 
 # ---- placeholder column ------------------------------------------------------------
@@ -214,5 +223,5 @@ tree as (
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select(
+    return spread(read(spark, d, "events")).select(
         F.col("event_id").alias("doc_id"), "user_id", F.expr(EVENT_JSON.replace("{text}", "string")).alias("text"))
