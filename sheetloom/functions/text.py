@@ -64,7 +64,8 @@ def dehyphenate(c: Column, merge_no_space: bool = False,
         rf"({w}{{3,}}){w}*-\5{end}",     # left half starts with the right
         rf"{w}*({w}{{3,}})-\6{end}",     # left half ends with the right
     ])
-    return F.regexp_replace(s, f"(?iu)({doubled})|({w}+)-({w}+)", "$1$7$8")
+    # a match can only start at the start of a word, which spares the engine the rest
+    return F.regexp_replace(s, f"(?iu)(?<!{w})(?={w}++-{w})(?:({doubled})|({w}+)-({w}+))", "$1$7$8")
 
 
 def strip_trailing_words(c: Column, words: Iterable[str] = CONJUNCTIONS) -> Column:

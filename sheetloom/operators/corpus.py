@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from .blocks import BLOCK_ROWS, BROADCAST_ROWS, fold_blocks
+from .blocks import BROADCAST_ROWS, SLICES
 
 # Entry heading, and markers that tie an entry to one job.
 HEADING = r"^##\s*\[(\w+)\]\s*(.*)"
@@ -38,36 +38,47 @@ def by_tag(entries: DataFrame, tags: Sequence[str] = (), column: str = "tag") ->
 
 
 def nearest(df: DataFrame, corpus: DataFrame, ids: Sequence[str] = ("doc_id",), text: str = "text",
-            corpus_id: str = "item_id", corpus_text: str = "text", block_rows: int = BLOCK_ROWS,
+            corpus_id: str = "item_id", corpus_text: str = "text",
             broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Most similar corpus entry by word-set Jaccard, the earliest among equals.
 
-    Each text folds over the corpus in place; an entry is compared only when the
-    sizes of the two sets leave room for a better score than the best so far.
-    A text that shares no word with the corpus has a null ``nearest``.
+    An index holds, per word, the entries that have it.  The word sets of the
+    texts move once, by id; looking words up, counting the words shared with each
+    entry and picking the best entry then all happen where the text is, so that
+    no (text, entry) pair is shuffled or written.  The index is broadcast while
+    the corpus has at most ``broadcast_rows`` entries (counted first); a larger
+    one is joined by word, each word cut into slices so that a frequent one does
+    not end up in one task.  A text that shares no word with the corpus has a null
+    ``nearest``.
     """
-    payload = F.struct(F.col(corpus_id).alias("id"), T.word_set(F.col(corpus_text)).alias("words"))
-    rows = df.select(*ids, T.word_set(F.col(text)).alias("_words"))
-    id_type = corpus.schema[corpus_id].dataType.simpleString()
-    start = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast(id_type).alias("id"))
-
-    def better(best: Column, entry: Column) -> Column:
-        mine, other = F.size("_words"), F.size(entry["words"])
-        room = F.try_divide(F.least(mine, other).cast("double"), F.greatest(mine, other))
-        score = S.jaccard(entry["words"], F.col("_words"))
-        return F.when((room > best["score"]) & (score > best["score"]),
-                      F.struct(score.alias("score"), entry["id"].alias("id"))).otherwise(best)
-
-    found, blocks = fold_blocks(rows, corpus, list(ids), payload,
-                                lambda items: F.aggregate(items, start, better), "best", block_rows, broadcast_rows)
-    if blocks == 0:
-        found = found.withColumn("best", start)
-    if blocks > 1:
-        found = found.groupBy(*ids).agg(F.min_by("best", F.struct(
-            (-F.col("best.score")).alias("s"), F.col("best.id").alias("i"))).alias("best"))
-    score = F.col("best.score")
-    return found.select(*ids, F.col("best.id").alias("nearest"), score.alias("similarity"),
-                        (score >= S.OVERLAP).alias("overlaps"))
+    ids = list(ids)
+    small = corpus.count() <= broadcast_rows
+    entries = corpus.select(F.col(corpus_id).alias("_entry"), T.word_set(F.col(corpus_text)).alias("_w"))
+    postings = entries.select(F.explode_outer("_w").alias("_word"), F.struct(
+        "_entry", F.size("_w").alias("n")).alias("_p"))
+    texts = df.select(*ids, T.word_set(F.col(text)).alias("_words"))
+    if small:
+        # at most one posting per entry, and the number of entries is checked
+        index = F.broadcast(postings.groupBy("_word").agg(F.collect_list("_p").alias("_ps")))
+        texts = texts.repartition(*[F.col(c) for c in ids])
+    # the outer form keeps the optimizer from testing the word set before building it;
+    # texts without words find no posting
+    words = texts.select(*ids, F.size("_words").alias("_mine"), F.explode_outer("_words").alias("_word"))
+    if small:
+        found = words.join(index, "_word").select(*ids, "_mine", F.explode("_ps").alias("_p"))
+    else:
+        sliced = postings.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+        words = words.withColumn("_slice", F.pmod(F.hash(*ids), F.lit(SLICES)))
+        found = words.join(sliced, ["_word", "_slice"])
+    shared = found.groupBy(*ids, "_mine", F.col("_p._entry").alias("_entry"), F.col("_p.n").alias("_n")).agg(
+        F.count(F.lit(1)).alias("_shared"))
+    score = F.col("_shared") / (F.col("_mine") + F.col("_n") - F.col("_shared"))
+    best = shared.withColumn("_score", score).groupBy(*ids).agg(
+        F.max("_score").alias("similarity"),
+        F.min_by("_entry", F.struct((-F.col("_score")).alias("s"), F.col("_entry").alias("e"))).alias("nearest"))
+    similarity = F.coalesce("similarity", F.lit(0.0))
+    return df.select(*ids).join(best, ids, "left").select(
+        *ids, "nearest", similarity.alias("similarity"), (similarity >= S.OVERLAP).alias("overlaps"))
 
 
 def scan_markers(df: DataFrame, ids: Sequence[str] = ("doc_id",), text: str = "text",

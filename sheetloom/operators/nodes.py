@@ -37,7 +37,8 @@ def nodes(docs: DataFrame, doc: str = "doc", ids: Sequence[str] = ("doc_id",),
 
     Columns: ids, ``path`` (slash path, array positions as segments, root ''),
     ``rule_path`` (the same with ``*`` for positions), ``parent_path``, ``depth``,
-    ``pos`` (array elements only), ``kind``, ``n_children`` and the VARIANT ``v``.
+    ``pos`` (array elements only), ``kind``, ``n_children``, the VARIANT ``v`` and
+    ``mixed``: whether the document has both an empty string and a null.
     Levels unfold as arrays beside the row and explode once at the end.  A document
     nested deeper than ``max_depth`` is an error, not a cut.
     """
@@ -53,11 +54,14 @@ def nodes(docs: DataFrame, doc: str = "doc", ids: Sequence[str] = ("doc_id",),
     too_deep = "exists(_open, n -> coalesce(size(n.m), 0) > 0 or coalesce(size(n.a), 0) > 0)"
     last = (f"if({too_deep}, raise_error('document nested deeper than max_depth={max_depth}'), "
             f"{_CLOSED.format(level='_open')})")
-    cur = cur.selectExpr(*ids, f"explode(concat({', '.join(done)}, {last})) as n")
+    cur = cur.selectExpr(*ids, f"concat({', '.join(done)}, {last}) as _all")
+    mixed = ("exists(_all, n -> n.box is null and (n.v is null or is_variant_null(n.v))) "
+             "and exists(_all, n -> n.box is null and coalesce(try_variant_get(n.v, '$', 'string') = '', false))")
+    cur = cur.selectExpr(*ids, f"{mixed} as mixed", "explode(_all) as n")
     # the text is read several times, so it is a column of its own
-    scalar = cur.select(*ids, "n.*", F.when(F.col("n.box").isNull(), F.coalesce(F.to_json("n.v"), F.lit("null"))).alias("_t"))
+    scalar = cur.select(*ids, "n.*", F.when(F.col("n.box").isNull(), F.coalesce(F.to_json("n.v"), F.lit("null"))).alias("_t"), "mixed")
     return scalar.select(*ids, "path", "rule_path", "parent_path", "depth", "pos",
-                         F.coalesce("box", _scalar_kind(F.col("_t"))).alias("kind"), "n_children", "v")
+                         F.coalesce("box", _scalar_kind(F.col("_t"))).alias("kind"), "n_children", "v", "mixed")
 
 
 def _scalar_kind(text: Column) -> Column:

@@ -12,14 +12,21 @@ TYPES = ("bool", "int", "float", "date", "str")   # fixed values: cell type tags
 COLUMN = (TABLE, "col_idx")
 
 
+def _key(key_chars: int) -> Column:
+    """Display key of a cell, null when blank.  Numbers, dates and booleans have no
+    characters to clean, so only text pays for the cleaning."""
+    value, tag = F.col("value"), F.col("cell_type")
+    typed = F.coalesce(tag != "str", F.lit(False)) & (F.length(value) <= key_chars)
+    return F.when(typed, value).when(~T.is_blank_text(value), T.cell_str(value, key_chars))
+
+
 def key_counts(cells: DataFrame, key_chars: int = 40) -> DataFrame:
     """One row per (table, column, display key): the only shuffle of whole cells.
 
     Map-side aggregation shrinks hot keys before they move.  Blank cells share
     the null key.
     """
-    key = F.when(~T.is_blank_text(F.col("value")), T.cell_str(F.col("value"), key_chars))
-    keyed = cells.select(*COLUMN, "header", ROW, key.alias("key"), "cell_type",
+    keyed = cells.select(*COLUMN, "header", ROW, _key(key_chars).alias("key"), "cell_type",
                          F.length("value").alias("chars"))
     filled = F.col("key").isNotNull()
     by_type = []
@@ -90,13 +97,12 @@ def profile(cells: DataFrame, k: int = 8, cap: int = 200, cap_keys: bool = False
 
 
 def _sketch_profile(cells: DataFrame, k: int, cap: int) -> DataFrame:
-    filled = ~T.is_blank_text(F.col("value"))
-    key = F.when(filled, T.cell_str(F.col("value"), 40))
+    filled = F.col("key").isNotNull()
     by_type = []
     for t in TYPES:
         hit = filled & (F.col("cell_type") == t)
         by_type += [F.count_if(hit).alias(f"n_{t}"), F.min(F.when(hit, F.col(ROW))).alias(f"at_{t}")]
-    agg = cells.withColumn("key", key).groupBy(*COLUMN, "header").agg(
+    agg = cells.withColumn("key", _key(40)).groupBy(*COLUMN, "header").agg(
         F.count(F.lit(1)).alias("rows"), F.count("key").alias("nonempty"),
         F.approx_count_distinct("key", 0.02).alias("distinct_n"),
         F.coalesce(F.max(F.when(filled, F.length("value"))), F.lit(0)).alias("max_len"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, WORD, _strip
 from ..sources.rules import MAX_SAMPLES, merge_checks
-from .nodes import leaves
 from .validate import path_order
 
 SEVERITY_ORDER = ("error", "warn", "info")   # fixed values, most severe first
@@ -70,45 +69,64 @@ def scan_text(df: DataFrame, keep: Sequence[str], value: str, checks: Mapping[st
 
 # ---- checks on arrays and whole documents -------------------------------------
 
+_FINDING = "array<struct<path:string,category:string,value:string>>"
+
+
+def _repeats() -> Column:
+    """Second and later equal items of an array node, as findings.
+
+    A hash test finds the arrays that repeat anything; their items are then sorted
+    with their positions, and an item equal to its neighbour is a repeat.
+    """
+    return F.expr("""if(kind = 'array' and size(array_distinct(_items)) < size(_items),
+      transform(filter(zip_with(_sorted, slice(_sorted, 2, size(_sorted)), (a, b) -> if(a.item = b.item, b, null)), x -> x is not null),
+        x -> named_struct('path', concat(path, '/', x.pos), 'category', 'duplicate_array_items', 'value',
+          case when left(x.item, 1) in ('{', '[') then '(complex item)'
+               when left(x.item, 1) = '"' then cast(try_parse_json(x.item) as string) else x.item end)), null)""")
+
+
+def _with_items(tree: DataFrame) -> DataFrame:
+    texts = "if(kind = 'array', transform(try_cast(v as array<variant>), x -> coalesce(to_json(x), 'null')), null)"
+    placed = "array_sort(transform(_items, (x, i) -> named_struct('item', x, 'pos', i)))"
+    return tree.selectExpr("*", f"{texts} as _items").selectExpr("*", f"{placed} as _sorted")
+
+
 def duplicate_items(tree: DataFrame, ids: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Second and later equal items of one array.
+    """Second and later equal items of one array; objects compare by sorted keys.
 
-    A hash test inside the row finds the arrays that repeat anything; only their
-    items are shuffled.
+    An array is part of one document value, so this stays inside the row.
     """
-    texts = F.expr("transform(try_cast(v as array<variant>), x -> coalesce(to_json(x), 'null'))")
-    repeats = tree.filter(F.col("kind") == "array").select(*ids, F.col("path").alias("array_path"), texts.alias("t"))
-    repeats = repeats.filter(F.size(F.array_distinct("t")) < F.size("t"))
-    items = repeats.select(*ids, "array_path", F.posexplode("t").alias("pos", "item"))
-    seen = Window.partitionBy(*ids, "array_path", "item").orderBy("pos")
-    again = items.withColumn("_n", F.row_number().over(seen)).filter("_n > 1")
-    text = (F.when(F.col("item").startswith("{") | F.col("item").startswith("["), "(complex item)")
-            .when(F.col("item").startswith('"'), F.try_parse_json(F.col("item")).cast("string"))
-            .otherwise(F.col("item")))
-    return again.select(*ids, F.concat_ws("/", "array_path", F.col("pos").cast("string")).alias("path"),
-                        F.lit("duplicate_array_items").alias("category"), text.alias("value"))
-
-
-def empty_vs_null(scalars: DataFrame, ids: Sequence[str] = ("doc_id",)) -> DataFrame:
+    return _with_items(tree.filter(F.col("kind") == "array")).select(*ids, F.inline(_repeats()))
+
+
+def _mixed() -> Column:
+    finding = F.struct(F.lit("(global)").alias("path"), F.lit("empty_vs_null").alias("category"), F.lit(MIXED).alias("value"))
+    return F.when((F.col("path") == "") & F.col("mixed"), F.array(finding))
+
+
+def empty_vs_null(tree: DataFrame, ids: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Documents in which both the empty string and null occur."""
-    kind = F.col("kind")
-    both = scalars.groupBy(*ids).agg(F.bool_or(kind == "null").alias("n"),
-                                     F.bool_or((kind == "string") & (F.col("value") == "")).alias("e"))
-    return both.filter("n and e").select(*ids, F.lit("(global)").alias("path"),
-                                         F.lit("empty_vs_null").alias("category"), F.lit(MIXED).alias("value"))
+    return tree.filter(F.col("path") == "").select(*ids, F.inline(_mixed()))
 
 
 def dq_scan(tree: DataFrame, checks: Mapping[str, Mapping] | None = None,
             ids: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Findings ``(ids, path, category, value)`` of all enabled checks."""
+    """Findings ``(ids, path, category, value)`` of all enabled checks.
+
+    One narrow pass over the nodes: nothing is shuffled.
+    """
     checks = merge_checks() if checks is None else checks
-    scalars = leaves(tree, ids)
-    out = scan_text(scalars.filter(F.col("kind") == "string"), [*ids, "path"], "value", checks)
+    rows = tree.withColumn("value", F.when(F.col("kind") == "string", F.col("v").cast("string")))
+    found = [F.when(hit, F.struct("path", F.lit(name).alias("category"), "value"))
+             for name, hit in text_checks(F.col("value"), checks).items()]
+    none = F.array().cast(_FINDING)
+    parts = [F.when(F.col("value").isNotNull(), F.array_compact(F.array(*found)))] if found else []
     if checks.get("duplicate_array_items", {}).get("enabled", False):
-        out = out.unionByName(duplicate_items(tree, ids))
+        rows = _with_items(rows)
+        parts.append(_repeats())
     if checks.get("empty_vs_null", {}).get("enabled", False):
-        out = out.unionByName(empty_vs_null(scalars, ids))
-    return out
+        parts.append(_mixed())
+    return rows.select(*ids, F.inline(F.concat(none, *[F.coalesce(p, none) for p in parts])))
 
 
 def dq_custom(df: DataFrame, predicates: Mapping[str, str], keep: Sequence[str], value: str) -> DataFrame:

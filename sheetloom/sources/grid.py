@@ -55,20 +55,12 @@ def to_cells(grid: DataFrame, infer: bool = False) -> DataFrame:
     columns are tagged from the text of each cell.
     """
     fields = [f for f in grid.schema.fields if f.name not in ADDRESS]
-    wide = grid.select(*ADDRESS, *[_as_text(f).alias(f.name) for f in fields])
-    long = wide.unpivot(list(ADDRESS), [f.name for f in fields], "header", "value")
-    position = {f.name: i for i, f in enumerate(fields)}
-    tags = {f.name: T.type_tag(f.dataType.simpleString()) for f in fields}
-    tag = _lookup(tags)
-    if infer:
-        tag = F.when(tag == "str", T.cell_type(F.col("value"))).otherwise(tag)
-    return long.select(TABLE, ROW, _lookup(position).alias("col_idx"), "header", "value",
-                       F.when(F.col("value").isNotNull(), tag).alias("cell_type"))
-
-
-def _lookup(values: Mapping[str, object]) -> Column:
-    pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(v))]
-    return F.element_at(F.create_map(*pairs), F.col("header"))
+    cells = []
+    for i, f in enumerate(fields):
+        value, tag = _as_text(f), T.type_tag(f.dataType.simpleString())
+        known = T.cell_type(value) if infer and tag == "str" else F.when(value.isNotNull(), tag)
+        cells += [F.lit(i), F.lit(f.name), value, known]
+    return grid.select(*ADDRESS, F.stack(F.lit(len(fields)), *cells).alias("col_idx", "header", "value", "cell_type"))
 
 
 def catalog(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -252,7 +252,7 @@ def mixed_docs(spark, d):
 @query("dq_empty_vs_null", """select c_custkey as doc_id, '(global)' as path, 'empty_vs_null' as category, 'both "" and null occur; standardize on one' as value
   from customer where c_custkey % 2 = 0 and c_custkey % 3 = 0""")
 def _(spark, d):
-    return Q.empty_vs_null(ND.leaves(ND.nodes(mixed_docs(spark, d))))
+    return Q.empty_vs_null(ND.nodes(mixed_docs(spark, d)))
 
 
 @query("dq_scan", f"with {_FOUND_SQL} select * from found")
