@@ -24,7 +24,7 @@ def split_entries(df: DataFrame, text: str = "text", ids: Sequence[str] = ("doc_
     first heading belongs to no entry.
     """
     pieces = F.filter(F.split(text, r"(?m)^(?=##\s*\[\w+\])"), lambda x: x.rlike(HEADING))
-    rows = df.select(*ids, F.posexplode(pieces).alias("_pos", "_piece"))
+    rows = df.select(*ids, F.posexplode_outer(pieces).alias("_pos", "_piece")).filter(F.col("_pos").isNotNull())
     title = T._strip(F.regexp_extract("_piece", HEADING, 2))
     body = F.regexp_replace("_piece", r"\A[^\n]*\n?", "")
     return rows.select(*ids, (F.col("_pos") + 1).cast("bigint").alias("entry_no"),
@@ -89,7 +89,7 @@ def scan_markers(df: DataFrame, ids: Sequence[str] = ("doc_id",), text: str = "t
                            lambda m: F.struct(F.lit(label).alias("label"), m.alias("matched")))
 
     found = [hits(label, pattern) for label, pattern in markers]
-    return df.select(*ids, F.inline(F.concat(*found)))
+    return df.select(*ids, F.inline_outer(F.concat(*found))).filter(F.col("label").isNotNull())
 
 
 def token_budget(df: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:

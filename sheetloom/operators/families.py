@@ -38,7 +38,7 @@ def top_matches(tables: DataFrame, families: DataFrame, n: int = TOP_MATCHES, ke
                             F.lit(None).cast("double").alias("score"), S.tier(F.lit(None).cast("double")).alias("tier"))
     if blocks > 1:   # at most n per block and table
         found = found.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, n).alias("best"))
-    ranked = found.select(key, F.posexplode("best").alias("pos", "m"))
+    ranked = found.select(key, F.posexplode_outer("best").alias("pos", "m")).filter(F.col("pos").isNotNull())
     score = -F.col("m.loss")
     return ranked.select(key, (F.col("pos") + 1).cast("bigint").alias("rank"), F.col("m.name").alias("name"),
                          score.alias("score"), S.tier(score).alias("tier"))

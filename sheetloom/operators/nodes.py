@@ -57,7 +57,9 @@ def nodes(docs: DataFrame, doc: str = "doc", ids: Sequence[str] = ("doc_id",),
     cur = cur.selectExpr(*ids, f"concat({', '.join(done)}, {last}) as _all")
     mixed = ("exists(_all, n -> n.box is null and (n.v is null or is_variant_null(n.v))) "
              "and exists(_all, n -> n.box is null and coalesce(try_variant_get(n.v, '$', 'string') = '', false))")
-    cur = cur.selectExpr(*ids, f"{mixed} as mixed", "explode(_all) as n")
+    # outer, here and wherever a computed array is unfolded: for the inner form the
+    # optimizer tests the array in a filter of its own and so computes it twice
+    cur = cur.selectExpr(*ids, f"{mixed} as mixed", "explode_outer(_all) as n")
     # the text is read several times, so it is a column of its own
     scalar = cur.select(*ids, "n.*", F.when(F.col("n.box").isNull(), F.coalesce(F.to_json("n.v"), F.lit("null"))).alias("_t"), "mixed")
     return scalar.select(*ids, "path", "rule_path", "parent_path", "depth", "pos",
@@ -99,7 +101,7 @@ def array_counts(docs: DataFrame, doc: str = "doc", ids: Sequence[str] = ("doc_i
     sized = F.transform(F.map_entries("_map"), lambda e: F.struct(
         e["key"].alias("name"), F.size(e["value"].try_cast("array<variant>")).cast("bigint").alias("size")))
     found = F.when(F.col("_root").isNotNull(), whole).otherwise(F.filter(sized, lambda x: x["size"].isNotNull() & (x["size"] >= 0)))
-    return base.select(*ids, F.inline(found))
+    return base.select(*ids, F.inline_outer(found)).filter(F.col("name").isNotNull())
 
 
 def field_paths(tree: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def scan_text(df: DataFrame, keep: Sequence[str], value: str, checks: Mapping[st
     made = text_checks(F.col("value"), merge_checks() if checks is None else checks)
     rows = df.select(*keep, F.col(value).alias("value")).filter(F.col("value").isNotNull())
     hits = F.array_compact(F.array(*[F.when(hit, name) for name, hit in made.items()]))
-    return rows.select(*keep, F.explode(hits).alias("category"), "value")
+    return rows.select(*keep, F.explode_outer(hits).alias("category"), "value").filter(F.col("category").isNotNull())
 
 
 # ---- checks on arrays and whole documents -------------------------------------
@@ -96,7 +96,8 @@ def duplicate_items(tree: DataFrame, ids: Sequence[str] = ("doc_id",)) -> DataFr
 
     An array is part of one document value, so this stays inside the row.
     """
-    return _with_items(tree.filter(F.col("kind") == "array")).select(*ids, F.inline(_repeats()))
+    return _with_items(tree.filter(F.col("kind") == "array")).select(*ids, F.inline_outer(_repeats())).filter(
+        F.col("category").isNotNull())
 
 
 def _mixed() -> Column:
@@ -106,7 +107,7 @@ def _mixed() -> Column:
 
 def empty_vs_null(tree: DataFrame, ids: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Documents in which both the empty string and null occur."""
-    return tree.filter(F.col("path") == "").select(*ids, F.inline(_mixed()))
+    return tree.filter(F.col("path") == "").select(*ids, F.inline_outer(_mixed())).filter(F.col("category").isNotNull())
 
 
 def dq_scan(tree: DataFrame, checks: Mapping[str, Mapping] | None = None,
@@ -117,16 +118,17 @@ def dq_scan(tree: DataFrame, checks: Mapping[str, Mapping] | None = None,
     """
     checks = merge_checks() if checks is None else checks
     rows = tree.withColumn("value", F.when(F.col("kind") == "string", F.col("v").cast("string")))
-    found = [F.when(hit, F.struct("path", F.lit(name).alias("category"), "value"))
+    hits = [F.when(hit, F.struct("path", F.lit(name).alias("category"), "value"))
              for name, hit in text_checks(F.col("value"), checks).items()]
     none = F.array().cast(_FINDING)
-    parts = [F.when(F.col("value").isNotNull(), F.array_compact(F.array(*found)))] if found else []
+    parts = [F.when(F.col("value").isNotNull(), F.array_compact(F.array(*hits)))] if hits else []
     if checks.get("duplicate_array_items", {}).get("enabled", False):
         rows = _with_items(rows)
         parts.append(_repeats())
     if checks.get("empty_vs_null", {}).get("enabled", False):
         parts.append(_mixed())
-    return rows.select(*ids, F.inline(F.concat(none, *[F.coalesce(p, none) for p in parts])))
+    found = F.inline_outer(F.concat(none, *[F.coalesce(p, none) for p in parts]))
+    return rows.select(*ids, found).filter(F.col("category").isNotNull())
 
 
 def dq_custom(df: DataFrame, predicates: Mapping[str, str], keep: Sequence[str], value: str) -> DataFrame:

@@ -157,7 +157,7 @@ def validate(tree: DataFrame, schema: Mapping, ids: Sequence[str] = ("doc_id",),
         F.lit("required").alias("keyword"), k.alias("arg"), F.lit(None).cast("string").alias("actual")))
     found = F.concat(F.array_compact(single), F.coalesce(missing, F.array().cast(
         "array<struct<keyword:string,arg:string,actual:string>>")))
-    out = rows.select(*ids, "path", F.inline(found))
+    out = rows.select(*ids, "path", F.inline_outer(found)).filter(F.col("keyword").isNotNull())
     return out if keywords is None else out.filter(F.col("keyword").isin(*keywords))
 
 

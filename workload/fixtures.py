@@ -153,7 +153,7 @@ lines as (
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     split = read(spark, d, "documents").select(
-        F.col("doc_id").cast("string").alias("table_id"), F.posexplode(F.split(F.expr(_LINES), "\n")).alias("pos", "c0"))
+        F.col("doc_id").cast("string").alias("table_id"), F.posexplode_outer(F.split(F.expr(_LINES), "\n")).alias("pos", "c0"))
     rest = F.when(F.contains("c0", F.lit(",")), F.expr("substr(c0, instr(c0, ',') + 1)"))
     return split.select("table_id", (F.col("pos") + 1).cast("bigint").alias("row_idx"), "c0", rest.alias("c1"))
 
