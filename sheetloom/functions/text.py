@@ -215,7 +215,9 @@ def cell_type(c: Column) -> Column:
 
     Digits with a leading zero are codes, so they stay ``str``.
     """
+    # most text is told apart by its first character alone
     return (F.when(c.isNull(), F.lit(None).cast("string"))
+            .when(~c.rlike(r"^[-+.\dtTfF]"), "str")
             .when(c.rlike(r"^(?i:true|false)$"), "bool")
             .when(c.rlike(r"^[+-]?(0|[1-9]\d*)$"), "int")
             .when(c.rlike(r"^[+-]?(0|[1-9]\d*)?\.\d+([eE][+-]?\d+)?$"

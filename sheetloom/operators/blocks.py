@@ -31,7 +31,8 @@ def fold_blocks(large: DataFrame, small: DataFrame, key: Sequence[str], payload:
         return large.withColumn(name, F.lit(None)), 0
     n_blocks = -(-n // block_rows)
     packed = small.select(payload.alias("_p"))
-    block = F.pmod(F.xxhash64("_p"), F.lit(n_blocks)) if n_blocks > 1 else F.lit(0).cast("bigint")
+    # computed even for one block: a constant would turn the join into a cross join
+    block = F.pmod(F.xxhash64("_p"), F.lit(n_blocks).cast("bigint"))
     packed = packed.groupBy(block.alias("_block")).agg(F.array_sort(F.collect_list("_p")).alias("_items"))
     spread = large.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
     if n <= broadcast_rows:

@@ -14,10 +14,12 @@ COLUMN = (TABLE, "col_idx")
 
 def _key(key_chars: int) -> Column:
     """Display key of a cell, null when blank.  Numbers, dates and booleans have no
-    characters to clean, so only text pays for the cleaning."""
+    characters to clean, and printable ASCII words with single spaces stay as they
+    are, so only other text pays for the cleaning."""
     value, tag = F.col("value"), F.col("cell_type")
-    typed = F.coalesce(tag != "str", F.lit(False)) & (F.length(value) <= key_chars)
-    return F.when(typed, value).when(~T.is_blank_text(value), T.cell_str(value, key_chars))
+    typed = F.coalesce(tag != "str", F.lit(False))
+    short = F.length(value) <= key_chars
+    return F.when(value.isNull(), None).when(short & (typed | value.rlike("^[!-~]++(?: [!-~]++)*+$")), value).when(~T.is_blank_text(value), T.cell_str(value, key_chars))
 
 
 def key_counts(cells: DataFrame, key_chars: int = 40) -> DataFrame:

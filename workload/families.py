@@ -266,9 +266,10 @@ def _(spark, d):
 # ---- comparison with the first sheet, taken as canonical ---------------------------------------------
 
 def _canon(df):
-    """The first table stands in for the canonical member of every other one."""
-    first = df.groupBy().agg(F.min_by(F.struct(*[c for c in df.columns if c != "table_id"]), "table_id").alias("c"))
-    return first.select("c.*")
+    """Per table width, the first table stands in for the canonical member."""
+    rest = [c for c in df.columns if c not in ("table_id", "ncol")]
+    first = df.groupBy("ncol").agg(F.min_by(F.struct(*rest), "table_id").alias("c"))
+    return first.select("ncol", "c.*")
 
 
 @query("feature_delta", f"""with {SHEET_PROF_SQL}, long as (unpivot (select table_id, cast(ncol as double) as ncol, cast(rows_per_entry as double) as rows_per_entry,
@@ -278,9 +279,7 @@ def _canon(df):
   where c.table_id = (select min(table_id) from feat)""")
 def _(spark, d):
     feats = sheet_features(spark, d)
-    canon = _canon(feats).withColumn("family", F.lit("sheets"))
-    tables = feats.select("table_id", F.lit("sheets").alias("family")).join(canon, "family").drop("family")
-    return FP.feature_delta(feats, tables)
+    return FP.feature_delta(feats, feats.select("table_id", "ncol").join(_canon(feats), "ncol"))
 
 
 @query("header_diff", """with a as (select column_name as header from information_schema.columns where table_name = 'orders'),
