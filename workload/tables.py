@@ -23,7 +23,7 @@ def _(spark, d):
 
 @query("to_grid_scan_window", f"select * from (select {_GRID.format(o=_ORDER)}, {_COLS} from orders) where row_idx <= 200")
 def _(spark, d):
-    # the scan window is the feature: the reference profiles the first rows of a sheet
+    # the scan window is the feature: a bounded look at the first rows of every sheet
     return to_grid(read(spark, d, "orders"), F.col("o_orderpriority"), ["o_orderdate", "o_orderkey"], max_cols=4, scan_rows=200)
 
 
