@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..operators.staging import shared_dir
-from . import bpe, packing, shards
+from . import bpe, fingerprint, packing, shards
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def _(spark, d):
 @query("op10_packing")
 def _(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
+@query("op6_minhash")
+def _(spark, d):
+    return fingerprint.fingerprint_documents(table(spark, d, "documents"))
