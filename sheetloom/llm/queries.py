@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..operators.staging import shared_dir
-from . import bpe, fingerprint, packing, shards
+from . import bpe, fingerprint, ngram_join, packing, shards
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def _(spark, d):
 @query("op6_minhash")
 def _(spark, d):
     return fingerprint.fingerprint_documents(table(spark, d, "documents"))
+
+
+@query("op9_ngram_join")
+def _(spark, d):
+    return ngram_join.join_sets(table(spark, d, "documents"))
