@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..operators.staging import shared_dir
-from . import bpe, fingerprint, ngram_join, packing, shards
+from . import bpe, fingerprint, ngram_join, packing, shards, substring
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def _(spark, d):
 @query("op9_ngram_join")
 def _(spark, d):
     return ngram_join.join_sets(table(spark, d, "documents"))
+
+
+@query("op5_substring_dedup")
+def _(spark, d):
+    return substring.remove_repeats(table(spark, d, "documents")).drop("text", "spans")
