@@ -65,6 +65,7 @@ class Encoder:
                     self.bytes_of[i] = bytes(chars[c] for c in token)
             for token, i in special.items():
                 self.bytes_of[i] = token.encode()
+            self.lengths = np.array([len(b) for b in self.bytes_of])
             import tiktoken
 
             # Fixed value: the split pattern of this kind of vocabulary.
@@ -80,19 +81,31 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         if self.ranks is None:
-            found = self._plain(pieces)
-        else:
-            found = [None] * len(pieces)
-            rare = []
-            for i, p in enumerate(pieces):
-                if p.isascii() or not _EXOTIC.search(p):
-                    found[i] = self.ranks.encode(p, allowed_special="all") if "<|" in p else self.ranks.encode_ordinary(p)
-                else:
-                    rare.append(i)
-            for i, ids in zip(rare, self._plain([pieces[i] for i in rare])) if rare else ():
-                found[i] = ids
-        for p, ids in zip(pieces, found):
+            for p, ids in zip(pieces, self._plain(pieces)):
+                self.kept[p] = np.array(ids, self.dtype).tobytes()
+            return
+        row, alone, rare = [], [], []
+        for p in pieces:
+            if not (p.isascii() or not _EXOTIC.search(p)):
+                rare.append(p)
+            elif p[:1] == " " and not p[-1].isspace() and "<|" not in p:
+                row.append(p)
+            else:
+                alone.append(p)
+        for p, ids in zip(rare, self._plain(rare)):
             self.kept[p] = np.array(ids, self.dtype).tobytes()
+        for p in alone:
+            self.kept[p] = np.array(self.ranks.encode(p, allowed_special="all"), self.dtype).tobytes()
+        # pieces that begin with a space and end with none can be encoded in one go:
+        # the lengths of tokens in bytes tell which ids belong to which
+        for i in range(0, len(row), 20_000):
+            part = row[i:i + 20_000]
+            ids = np.array(self.ranks.encode_ordinary("".join(part)), self.dtype)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
+            data, width, start = ids.tobytes(), self.dtype.itemsize, 0
+            for p, end in zip(part, (ends * width).tolist()):
+                self.kept[p] = data[start:end]
+                start = end
 
     def pieces(self, text: str) -> list[str]:
         if self.lower and "<|" not in text:   # ASCII letters only: the file's own rule sees to the rest
@@ -104,7 +117,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned integers of ``dtype``."""
         split = [self.pieces(t) for t in texts]
-        new = set().union(*split) - self.kept.keys() if split else set()
+        new = set().union(*split).difference(self.kept)
         if new:
             if len(self.kept) + len(new) > KEPT_PIECES:
                 self.kept.clear()
