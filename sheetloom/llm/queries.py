@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..operators.staging import shared_dir
-from . import bpe, fingerprint, ngram_join, packing, shards, substring
+from . import bpe, fingerprint, ngram_join, packing, quality, shards, substring, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,16 @@ def _(spark, d):
 @query("op5_substring_dedup")
 def _(spark, d):
     return substring.remove_repeats(table(spark, d, "documents")).drop("text", "spans")
+
+
+@query("op3_quality")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
+@query("op7_toxicity")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    model = toxicity.fit_labels(docs, table(spark, d, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
