@@ -128,13 +128,12 @@ def _count(batches):
 def choose(buckets: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, most: int = FEATURES) -> np.ndarray:
     """The buckets that tell most for toxicity: common in toxic texts, rare in others."""
     p, q = (toxic + 0.5) / (n_toxic + 1), (clean + 0.5) / (n_clean + 1)
-    gain = toxic * np.log(p / q)
-    good = (toxic >= 3) & (p > 4 * q)
-    order = np.lexsort((buckets, -gain))
+    good = (toxic >= 4) & (p > 12 * q)
+    order = np.lexsort((buckets, -toxic * np.log(p / q)))
     return np.sort(buckets[order[good[order]]][:most])
 
 
-def fit_weights(rows: list[tuple[list[int], list[int] | None, int]], n: int, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_weights(rows: list[tuple[list[int], list[int] | None, int]], n: int, steps: int = 800) -> tuple[np.ndarray, float]:
     """Logistic weights from (features, features of the swapped reading or None, label)."""
     at = np.concatenate([np.full(len(f), i) for i, (f, _, _) in enumerate(rows)]) if rows else np.empty(0)
     at, of = at.astype(np.int64), np.array([j for f, _, _ in rows for j in f], np.int64)
@@ -154,7 +153,7 @@ def fit_weights(rows: list[tuple[list[int], list[int] | None, int]], n: int, ste
             grad += np.bincount(pair_of, 2 * COUNTERFACTUAL * sign * change[pair_at], n)
         g = np.append(grad, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        step = 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:n], b - step[n]
     return w, float(b)
 
@@ -184,8 +183,8 @@ def fit(sample: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(own, kind), pa.array(other, kind), batch.column(1)], names=["own", "other", "y"])
 
     rows = sample.mapInArrow(describe, "own array<int>, other array<int>, y int").collect()   # bounded by the sample
-    w, b = fit_weights(sorted((r["own"], r["other"], int(r["y"] > 0)) for r in rows) if all(r["other"] is None for r in rows)
-                       else sorted(((r["own"], r["other"], int(r["y"] > 0)) for r in rows), key=repr), len(chosen))
+    readings = sorted(((r["own"], r["other"], int(r["y"] > 0)) for r in rows), key=repr)   # the same order in every run
+    w, b = fit_weights(readings, len(chosen))
     return Model(chosen, w, b)
 
 
