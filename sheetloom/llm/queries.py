@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..operators.staging import shared_dir
-from . import bpe, fingerprint, ngram_join, packing, quality, shards, substring, toxicity
+from . import bpe, fingerprint, neighbours, ngram_join, packing, quality, shards, substring, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def _(spark, d):
     docs = table(spark, d, "documents")
     model = toxicity.fit_labels(docs, table(spark, d, "labels"))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op4_neighbours")
+def _(spark, d):
+    return neighbours.nearest(table(spark, d, "embeddings"))
