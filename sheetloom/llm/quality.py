@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import stage, whole
 
-SAMPLE_DOCS = 8_000      # documents the scorer is fitted on, those of the smallest hash of the text
+SAMPLE_DOCS = 8_000      # documents the scorer is fitted on, about so many, chosen by a hash of the text
 DIMENSIONS = 2_048
 THRESHOLD = 0.5
 LABELLERS = ("symbols", "capitals", "bars", "shouting", "stutter", "short_words", "marks", "variety", "word_length", "letters")
@@ -142,8 +142,8 @@ def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS) -> Model:
     patterns = np.array([[int(c) for c in r["votes"]] for r in found])
     post, _, _ = expectation_maximisation(patterns, np.array([r["count"] for r in found], float))
     posterior = {r["votes"]: float(p) for r, p in zip(found, post)}
-    hashed = read.select(F.xxhash64("_text").alias("_h"), "_text")
-    edge = hashed.select("_h").orderBy("_h").limit(rows).agg(F.max("_h")).head()[0]
+    share = max(1, sum(r["count"] for r in found) // rows)
+    hashed = read.select(F.xxhash64("_text").alias("_h"), "_text").filter(F.pmod("_h", F.lit(share)) == 0)
 
     def describe(batches):
         for batch in batches:
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), pa.array(y, pa.float64())], names=["h", "x", "y"])
 
     # equal texts have equal hashes: of many copies one is enough, so the sample keeps its bound
-    sample = hashed.filter(F.col("_h") <= edge).dropDuplicates(["_h"]).mapInArrow(describe, "h long, x binary, y double").collect()
+    sample = hashed.dropDuplicates(["_h"]).limit(2 * rows).mapInArrow(describe, "h long, x binary, y double").collect()
     sample.sort(key=lambda r: r["h"])
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in sample])
     return Model(*_logistic(x, np.array([r["y"] for r in sample])))

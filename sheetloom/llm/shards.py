@@ -26,16 +26,18 @@ from .tokens import encoder, four_bytes
 
 MAGIC = b"SLID1"
 SHARD_BYTES = 4_000_000       # ids of a shard before compression; a longer document has a shard of its own
-SAMPLE_DOCS = 2_000           # documents the dictionary is trained on, those of the smallest hash
-SAMPLE_BYTES = 4_000          # of each of them
+SAMPLE_DOCS = 1_000           # documents the dictionary is trained on, about so many, chosen by a hash
+SAMPLE_BYTES = 2_000          # of each of them
 DICTIONARY_BYTES = 64_000
 _SHARD_BITS = 24
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, text: str = "text") -> bytes:
     """A zstandard dictionary from the id arrays of a bounded sample; empty where there is too little to learn."""
-    rows = (docs.select(whole(text).alias("t")).withColumn("h", F.xxhash64("t")).orderBy("h", "t").limit(SAMPLE_DOCS)
-            .select(F.left("t", F.lit(SAMPLE_BYTES)).alias("t")).collect())
+    share = max(1, docs.count() // SAMPLE_DOCS)
+    rows = (docs.select(whole(text).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(share)) == 0)
+            .select(F.left("t", F.lit(SAMPLE_BYTES)).alias("t")).distinct().limit(2 * SAMPLE_DOCS).collect())
+    rows.sort(key=lambda r: r.t)
     enc = encoder(tokenizer)
     samples = [x[:SAMPLE_BYTES] for x in enc.in_slices([r.t for r in rows]) if x]
     if len(samples) < 20:

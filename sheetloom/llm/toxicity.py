@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, stage, whole
 
-SAMPLE_DOCS = 40_000     # labelled rows the model is fitted on, those of the smallest hash of the id
+SAMPLE_DOCS = 40_000     # labelled rows the model is fitted on, about so many, chosen by a hash of the id
 BUCKETS = 1 << 18
 FEATURES = 1_024         # features that get a weight
 PREFIXES = (4, 5, 6)
@@ -98,14 +98,15 @@ class Reader:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, keep, doc_id: str, text: str, rows: int) -> DataFrame:
-    """Texts and labels of at most ``rows`` labelled documents, written once: those of the smallest hash of the id.
+    """Texts and labels of about ``rows`` labelled documents, at most twice as many, chosen by a hash of the id; written once.
 
     Rows with a null id or label are left out; of a repeated id the largest label counts.
     The ids have a fixed bound, so they are broadcast and texts do not move.
     """
-    chosen = (labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y is not null")
-              .filter(keep(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
-              .orderBy(F.xxhash64("_id"), "_id").limit(rows))
+    known = (labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y is not null")
+             .filter(keep(F.col("_id"))))
+    share = max(1, known.count() // rows)
+    chosen = known.filter(F.pmod(F.xxhash64("_id"), F.lit(share)) == 0).groupBy("_id").agg(F.max("_y").alias("_y")).limit(2 * rows)
     return stage(docs.select(F.col(doc_id).alias("_id"), whole(text).alias("_text")).join(F.broadcast(stage(chosen)), "_id").select("_text", "_y"))
 
 
