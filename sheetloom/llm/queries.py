@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..operators.staging import shared_dir
-from . import bpe, fingerprint, neighbours, ngram_join, packing, quality, shards, substring, toxicity
+from . import bpe, fingerprint, language_model, neighbours, ngram_join, packing, quality, shards, substring, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def _(spark, d):
 @query("op4_neighbours")
 def _(spark, d):
     return neighbours.nearest(table(spark, d, "embeddings"))
+
+
+@query("op8_eftrie_lm")
+def _(spark, d):
+    return language_model.score_documents(table(spark, d, "documents"))
