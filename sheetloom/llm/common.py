@@ -1,6 +1,9 @@
 """Helpers that several operators share."""
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +26,15 @@ def fold(doc_id: str = "doc_id", mod: int = 4) -> Column:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def keep_rows(df: DataFrame, decide: Callable[[], Callable[[str], bool]], text: str = "text") -> DataFrame:
+    """Rows whose text (a null one as empty) passes, with all their columns; ``decide`` makes the test once a task."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = decide()
+        for batch in batches:
+            yield batch.filter(pa.array([passes(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

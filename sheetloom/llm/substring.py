@@ -12,7 +12,7 @@ earlier elsewhere make up the maximal repeats, which are removed.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -101,19 +101,19 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, ``text`` (kept words, one space between), ``spans`` (removed word ranges), ``n_words``,
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Per row: id, the columns to ``carry``, ``text`` (kept words, one space between), ``spans`` (removed word ranges), ``n_words``,
     ``n_removed``, ``kept_sha256``.
 
     A word goes if a window of 20 words covers it whose words also start earlier: in a row
     with a smaller id, or earlier in the same row.  A null id is smaller than any; rows with
     equal ids are not earlier than one another.  Null and empty texts have no words, and
-    texts of fewer than 20 words lose none.  Other columns are not read.  The input is
+    texts of fewer than 20 words lose none.  Further columns are not read.  The input is
     read three times and should come from files.
     """
-    id_type = df.schema[doc_id].dataType.simpleString()
-    order = F.coalesce(F.col("_id").cast("long"), F.lit(-2**63).cast("long"))
-    docs = df.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"), whole(text).alias("_text"))
+    docs = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(doc_id, *carry).alias("_id"), whole(text).alias("_text"))
+    id_type = docs.schema["_id"].dataType.simpleString()
+    order = F.coalesce(F.col("_id")[doc_id].cast("long"), F.lit(-2**63).cast("long"))
     slices = (docs.select("_text").mapInArrow(_reference_blocks, "_slice int, _h long").repartition(partitions(df), "_slice")
               .sortWithinPartitions("_slice", "_h").mapInArrow(_tables, "_slice int, _all binary, _repeated binary"))
     every = np.zeros((1 << SLICE_BITS, 1 << (WIDE - 3)), np.uint8)
@@ -161,12 +161,12 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                                              names=["_row", "_start", "_id", "_z"])
 
     texts = docs.mapInArrow(squeeze, f"_row long, _start int, _id {id_type}, _z binary")
-    shape = (f"`{doc_id}` {id_type}, text string, spans array<struct<first:int,last:int>>, n_words long, n_removed long, kept_sha256 string")
+    shape = (f"_id {id_type}, text string, spans array<struct<first:int,last:int>>, n_words long, n_removed long, kept_sha256 string")
     return (texts.union(later).repartition(partitions(df), "_row").sortWithinPartitions("_row", "_start")
-            .mapInArrow(lambda batches: _cut(batches, doc_id), shape))
+            .mapInArrow(_cut, shape).select("_id.*", "text", "spans", "n_words", "n_removed", "kept_sha256"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], doc_id: str) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Join of texts with their repeated windows, from rows sorted by (row, start), the text first."""
     unzip = zstandard.ZstdDecompressor()
     held: list = []            # the open document: id, text, arrays of starts
@@ -200,7 +200,7 @@ def _cut(batches: Iterator[pa.RecordBatch], doc_id: str) -> Iterator[pa.RecordBa
             pa.array(cols["id"], kind), pa.array(cols["text"], pa.string()),
             pa.array(cols["spans"], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
             pa.array(cols["n"], pa.int64()), pa.array(cols["removed"], pa.int64()), pa.array(cols["sha"], pa.string())],
-            names=[doc_id, "text", "spans", "n_words", "n_removed", "kept_sha256"])
+            names=["_id", "text", "spans", "n_words", "n_removed", "kept_sha256"])
 
     kind = None
     for batch in batches:
