@@ -1,15 +1,16 @@
 """Schema keywords as predicates: true where the value breaks the rule."""
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def breaks_type(kind: Column, types: Column) -> Column:
-    """``types`` is an array; a whole number also counts as a number."""
+def breaks_type(kind: Column, types: Column, whole: Column | None = None) -> Column:
+    """``types`` is an array; an integer also counts as a number, and so does a number
+    without a fraction, like 1e2 or 2.0, as an integer (``whole``)."""
     fits = F.array_contains(types, kind) | ((kind == "integer") & F.array_contains(types, F.lit("number")))
+    if whole is not None:
+        fits = fits | (whole & F.array_contains(types, F.lit("integer")))
     return types.isNotNull() & ~fits
 
 
@@ -33,7 +34,3 @@ def breaks_pattern(value: Column, pattern: str) -> Column:
 
 def shorter_than(value: Column, minimum: Column) -> Column:
     return F.length(value) < minimum
-
-
-def expect_in(value: Column, allowed: Sequence) -> Column:
-    return value.isNull() | ~value.isin(*allowed)

@@ -77,13 +77,18 @@ def strip_trailing_words(c: Column, words: Iterable[str] = CONJUNCTIONS) -> Colu
 
 
 def number_text(c: Column) -> Column:
-    """A double as plain decimal text: 3.0, 0.25, 12345678.5 (no exponent below 1e16)."""
+    """A double as plain decimal text: 3.0, 0.25, 12345678.5 (no exponent below 1e15).
+
+    The digits are those of the shortest text that reads back as the same double;
+    only its exponent is rewritten.
+    """
     whole = F.concat(c.cast("bigint").cast("string"), F.lit(".0"))
-    plain = F.regexp_replace(c.cast("decimal(38,12)").cast("string"), "0+$", "")
+    shortest = c.cast("string")                       # has no exponent from 1e-3 to 1e7
+    spelled = F.regexp_replace(shortest.cast("decimal(38,18)").cast("string"), "0+$", "")
     size = F.abs(c)
     return (F.when((c == F.floor(c)) & (size < 1e15), whole)
-            .when((size >= 1e-3) & (size < 1e15), plain)
-            .otherwise(c.cast("string")))
+            .when((size >= 1e7) & (size < 1e15), spelled)
+            .otherwise(shortest))
 
 
 def as_int_str(c: Column, dtype: str = "string") -> Column:

@@ -11,7 +11,7 @@ from ..functions import text as T
 from .blocks import BROADCAST_ROWS, SLICES
 
 # Entry heading, and markers that tie an entry to one job.
-HEADING = r"^##\s*\[(\w+)\]\s*(.*)"
+HEADING = r"^##[ \t]*\[(\w+)\][ \t]*([^\n]*)"
 MARKERS = (("column-letter reference", r"\b[Cc]ol(?:umn)?s?\.?\s+[A-Z]\b"),
            ("data-file name", r"\b[A-Za-z0-9_-]+\.(?:xlsx|xlsm|csv)\b"),
            ("job id", r"\btable-\d{6,8}\b"))
@@ -23,7 +23,7 @@ def split_entries(df: DataFrame, text: str = "text", ids: Sequence[str] = ("doc_
     The text is cut in front of its headings inside the row; what precedes the
     first heading belongs to no entry.
     """
-    pieces = F.filter(F.split(text, r"(?m)^(?=##\s*\[\w+\])"), lambda x: x.rlike(HEADING))
+    pieces = F.filter(F.split(text, r"(?m)^(?=##[ \t]*\[\w+\])"), lambda x: x.rlike(HEADING))
     rows = df.select(*ids, F.posexplode_outer(pieces).alias("_pos", "_piece")).filter(F.col("_pos").isNotNull())
     title = T._strip(F.regexp_extract("_piece", HEADING, 2))
     body = F.regexp_replace("_piece", r"\A[^\n]*\n?", "")

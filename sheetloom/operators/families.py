@@ -18,26 +18,29 @@ from .fingerprint import VECTOR_SIZE
 TOP_MATCHES = 5
 
 
-def top_matches(tables: DataFrame, families: DataFrame, n: int = TOP_MATCHES, key: str = TABLE,
+def top_matches(tables: DataFrame, families: DataFrame, n: int | None = TOP_MATCHES, key: str = TABLE,
                 block_rows: int = BLOCK_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The n best families of every table ``(key, rank, name, score, tier)``."""
+    """The n best families of every table ``(key, rank, name, score, tier)``; all of them without n."""
     scored = families.filter(F.col("vector").isNotNull())
     payload = F.struct("name", F.col("vector").cast("array<double>").alias("vector"),
                        S.norm(F.col("vector")).alias("norm"))
     own = tables.select(key, F.col("vector").cast("array<double>").alias("vector"))
     own = own.withColumn("norm", S.norm(F.col("vector")))
 
+    def first(ranked: Column) -> Column:
+        return ranked if n is None else F.slice(ranked, 1, n)
+
     def best(items: Column) -> Column:
         score = F.transform(items, lambda f: F.struct(
             (-S.cosine(F.col("vector"), f["vector"], F.col("norm"), f["norm"])).alias("loss"), f["name"].alias("name")))
-        return F.slice(F.array_sort(score), 1, n)
+        return first(F.array_sort(score))
 
     found, blocks = fold_blocks(own, scored, [key], payload, best, "best", block_rows, broadcast_rows)
     if blocks == 0:
         return found.select(key, F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("string").alias("name"),
                             F.lit(None).cast("double").alias("score"), S.tier(F.lit(None).cast("double")).alias("tier"))
     if blocks > 1:   # at most n per block and table
-        found = found.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, n).alias("best"))
+        found = found.groupBy(key).agg(first(F.array_sort(F.flatten(F.collect_list("best")))).alias("best"))
     ranked = found.select(key, F.posexplode_outer("best").alias("pos", "m")).filter(F.col("pos").isNotNull())
     score = -F.col("m.loss")
     return ranked.select(key, (F.col("pos") + 1).cast("bigint").alias("rank"), F.col("m.name").alias("name"),
@@ -52,7 +55,13 @@ def match(tables: DataFrame, families: DataFrame, key: str = TABLE) -> DataFrame
 
 
 def centroid(members: DataFrame, by: str = "name", vector: str = "vector", size: int = VECTOR_SIZE) -> DataFrame:
-    """Element-wise mean of member vectors, one pre-aggregated pass, no explode."""
+    """Element-wise mean of member vectors, one pre-aggregated pass, no explode.
+
+    A vector of another length than ``size`` is an error.
+    """
+    fits = F.when(F.size(vector) == size, F.col(vector)).otherwise(
+        F.raise_error(F.concat(F.lit(f"vector of another length than {size}: "), F.size(vector).cast("string"))))
+    members = members.withColumn(vector, F.when(F.col(vector).isNotNull(), fits))
     means = [F.round(F.avg(F.get(vector, F.lit(i)).cast("double")), 6) for i in range(size)]
     return members.filter(F.col(vector).isNotNull()).groupBy(by).agg(
         F.array(*means).alias("vector"), F.count(F.lit(1)).alias("n_members"))

@@ -10,7 +10,10 @@ from .ordered import BUCKET_ROWS, bucket_of
 
 
 def detect_header(grid: DataFrame, max_probe: int = 15) -> DataFrame:
-    """Densest texty row among the first rows: 2 x text cells + filled cells."""
+    """Densest texty row among the first rows: 2 x text cells + filled cells.
+
+    A table without any of those rows keeps row 1 as its header row, with score 0.
+    """
     filled, texty = F.lit(0), F.lit(0)
     for f in grid.schema.fields:
         if f.name in (TABLE, ROW):
@@ -19,10 +22,12 @@ def detect_header(grid: DataFrame, max_probe: int = 15) -> DataFrame:
         filled = filled + one
         if f.dataType.typeName() == "string":
             texty = texty + one
-    scored = grid.filter(F.col(ROW) <= max_probe).select(TABLE, ROW, (texty * 2 + filled).alias("score"))
-    best = F.max_by(F.struct(ROW, "score"), F.struct(F.col("score"), -F.col(ROW)))
+    probed = F.col(ROW) <= max_probe
+    scored = grid.select(TABLE, ROW, F.when(probed, texty * 2 + filled).alias("score"))
+    best = F.max_by(F.struct(ROW, "score"), F.when(F.col("score").isNotNull(), F.struct(F.col("score"), -F.col(ROW))))
     return scored.groupBy(TABLE).agg(best.alias("b")).select(
-        TABLE, F.col(f"b.{ROW}").alias("header_row"), F.col("b.score").cast("bigint").alias("score"))
+        TABLE, F.coalesce(f"b.{ROW}", F.lit(1).cast("bigint")).alias("header_row"),
+        F.coalesce(F.col("b.score").cast("bigint"), F.lit(0).cast("bigint")).alias("score"))
 
 
 def attach_per_table(grid: DataFrame, per_table: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

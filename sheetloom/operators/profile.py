@@ -119,13 +119,22 @@ def _sketch_profile(cells: DataFrame, k: int, cap: int) -> DataFrame:
 
 # ---- table level ------------------------------------------------------------
 
-def dims(grid: DataFrame, max_cols: int = 60, scan_rows: int = 5000) -> DataFrame:
-    """Rows, columns, the scanned window, and whether the table is larger than it."""
+def dims(grid: DataFrame, max_cols: int = 60, scan_rows: int = 5000, original: DataFrame | None = None) -> DataFrame:
+    """Rows, columns, the scanned window, and whether the table is larger than it.
+
+    A grid that ``to_grid`` has cut no longer shows it; ``original``
+    (``grid.original_size``) gives the sizes from before the cut.
+    """
     n_cols = len(cell_columns(grid))
-    return grid.groupBy(TABLE).agg(F.max(ROW).alias("max_row")).select(
+    seen = grid.groupBy(TABLE).agg(F.max(ROW).alias("max_row"))
+    rows, cols = F.col("max_row"), F.lit(n_cols)
+    if original is not None:
+        seen = seen.join(original.select(TABLE, "n_rows", "n_cols"), TABLE, "left")
+        rows, cols = F.greatest("max_row", "n_rows"), F.greatest(F.lit(n_cols), "n_cols")
+    return seen.select(
         TABLE, "max_row", F.lit(n_cols).cast("bigint").alias("max_col"),
         F.least("max_row", F.lit(scan_rows).cast("bigint")).alias("scanned_rows"),
-        ((F.col("max_row") > scan_rows) | F.lit(n_cols > max_cols)).alias("truncated"))
+        ((rows > scan_rows) | (cols > max_cols)).alias("truncated"))
 
 
 def blank_rows(grid: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..sources.rules import MAX_SAMPLES, merge_checks
 from .validate import path_order
 
 SEVERITY_ORDER = ("error", "warn", "info")   # fixed values, most severe first
-MIXED = 'both "" and null occur; standardize on one'
+MIXED = "empty strings and nulls both occur; use one of them"
 
 
 # ---- checks on one text value ------------------------------------------------
@@ -156,9 +156,13 @@ def dq_summary(findings: DataFrame, checks: Mapping[str, Mapping] | None = None)
     return counted.select("category", _severity(merge_checks() if checks is None else checks).alias("severity"), "count")
 
 
-def order_summary(summary: DataFrame) -> DataFrame:
+def summary_order() -> tuple[Column, ...]:
     """Most severe first, then most frequent."""
-    return summary.orderBy(severity_rank(F.col("severity")), F.desc("count"), "category")
+    return severity_rank(F.col("severity")), F.desc("count"), F.col("category")
+
+
+def order_summary(summary: DataFrame) -> DataFrame:
+    return summary.orderBy(*summary_order())
 
 
 def dq_samples(findings: DataFrame, n: int = MAX_SAMPLES, ids: Sequence[str] = ("doc_id",)) -> DataFrame:

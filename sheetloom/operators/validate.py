@@ -64,6 +64,8 @@ def check_schema(schema: Mapping) -> None:
                 raise ValueError(f"{where}: bad pattern: {e}") from e
         if not isinstance(part.get("required", []), list) or not isinstance(part.get("enum", []), list):
             raise ValueError(f"{where}: required and enum must be lists")
+        if not isinstance(part.get("additionalProperties", True), bool):
+            raise ValueError(f"{where}: additionalProperties as a schema is not supported")
         if "$ref" in part:
             _resolve(part, schema)
 
@@ -79,15 +81,17 @@ def _parts(part: object, where: str, seen: set):
         yield from _parts(part["items"], f"{where}/items", seen)
 
 
-def _resolve(part: Mapping, root: Mapping) -> Mapping:
+def _resolve(part: Mapping, root: Mapping, seen: tuple[str, ...] = ()) -> Mapping:
     if "$ref" not in part:
         return part
+    if part["$ref"] in seen:
+        raise ValueError(f"reference {part['$ref']!r} leads back to itself")
     target = root
     for step in part["$ref"].lstrip("#/").split("/"):
         if step not in target:
             raise ValueError(f"unresolved reference {part['$ref']!r}")
         target = target[step]
-    return {**_resolve(target, root), **{k: v for k, v in part.items() if k != "$ref"}}
+    return {**_resolve(target, root, (*seen, part["$ref"])), **{k: v for k, v in part.items() if k != "$ref"}}
 
 
 def compile_rules(schema: Mapping, max_depth: int = MAX_DEPTH) -> list[Rule]:
@@ -137,13 +141,15 @@ def validate(tree: DataFrame, schema: Mapping, ids: Sequence[str] = ("doc_id",),
         return F.when(F.coalesce(broken, F.lit(False)), F.struct(
             F.lit(keyword).alias("keyword"), arg.cast("string").alias("arg"), actual.cast("string").alias("actual")))
 
+    number = F.col("value").try_cast("double")
+    whole = F.coalesce((kind == "number") & (number == F.floor(number)), F.lit(False))
     is_text, is_number = kind == "string", kind.isin("integer", "number")
     broken_pattern = F.lit(False)
     for pattern in sorted({r.pattern for r in rules if r.pattern is not None}):
         broken_pattern = broken_pattern | ((F.col("pattern") == pattern) & X.breaks_pattern(F.col("value"), pattern))
     extra = X.extra_fields(F.col("keys"), F.col("allowed"))
     single = F.array(
-        error("type", X.breaks_type(kind, F.col("types")), F.array_join("types", "|"), kind),
+        error("type", X.breaks_type(kind, F.col("types"), whole), F.array_join("types", "|"), kind),
         error("additionalProperties", F.size(extra) > 0, F.array_join("allowed", ","), F.array_join(extra, ",")),
         error("enum", X.breaks_enum(F.col("item"), F.col("enum")), F.array_join("enum", ","), F.col("item")),
         error("pattern", is_text & broken_pattern, F.col("pattern"), F.col("value")),
@@ -163,8 +169,10 @@ def validate(tree: DataFrame, schema: Mapping, ids: Sequence[str] = ("doc_id",),
 
 def path_order(path: Column) -> Column:
     """Sort key of a slash path: positions by number, names by text."""
+    # a number sorts by its length, then by its digits, however long it is
     return F.transform(F.split(path, "/"), lambda s: F.when(
-        s.rlike(r"^\d+$"), F.lpad(s, 12, "0")).otherwise(s))
+        s.rlike(r"^\d+$"), F.concat(F.lpad(F.length(F.regexp_replace(s, "^0+(?=.)", "")).cast("string"), 10, "0"), F.lit(":"),
+                                   F.regexp_replace(s, "^0+(?=.)", ""))).otherwise(s))
 
 
 def top_errors(errors: DataFrame, n: int = 50, ids: Sequence[str] = ("doc_id",)) -> DataFrame:

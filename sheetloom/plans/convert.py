@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,7 +12,7 @@ from ..operators.assemble import assemble_document
 from ..operators.segment import PART_ROWS, segment
 from ..operators.staging import stage
 from ..operators.segment import subgroup_on_change
-from ..sources.grid import TABLE, cell_columns
+from ..sources.grid import ROW, TABLE, cell_columns
 
 
 @dataclass(frozen=True)
@@ -29,15 +29,31 @@ class SheetSpec:
     placeholders: Sequence[str] = field(default=T.PLACEHOLDERS)
 
 
+def _live(grid: DataFrame) -> DataFrame:
+    return grid.filter(~T.is_blank([F.col(c).cast("string") for c in cell_columns(grid)]))
+
+
+def unassigned(grid: DataFrame, spec: SheetSpec) -> DataFrame:
+    """The rows ``(table_id, row_idx)`` that ``convert`` gives to no entry: those before the first boundary."""
+    return segment(_live(grid), spec.boundary).filter(F.col("entry_id") == 0).select(TABLE, ROW)
+
+
 def convert(grid: DataFrame, spec: SheetSpec, part_rows: int = PART_ROWS) -> DataFrame:
-    """One nested document per entry (and part of a very long entry)."""
-    live = grid.filter(~T.is_blank([F.col(c).cast("string") for c in cell_columns(grid)]))
+    """One nested document per entry (and part of a very long entry).
+
+    A header attribute is the first value that its cell has in the entry, the boundary row
+    first; a value further down neither changes it nor splits the entry.  All parts of an
+    entry have the same attributes.
+    """
+    live = _live(grid)
     rows = live
     if spec.group is not None:
         # the second running pass reads the first, so it starts from a written table
         rows = stage(subgroup_on_change(live, spec.boundary, spec.group))
-    rows = segment(rows, spec.boundary, spec.header, part_rows=part_rows).filter(F.col("entry_id") > 0)
+    rows = segment(rows, spec.boundary, part_rows=part_rows).filter(F.col("entry_id") > 0)
     lists = {n: F.when(~T.is_placeholder(c, spec.placeholders), c) for n, c in spec.lists.items()}
-    entry = [TABLE, "entry_id", "part", *spec.header]
+    entry = [TABLE, "entry_id", "part"]
     levels = [] if spec.group is None else [("groups", ["group_id", "group_key"])]
-    return assemble_document(rows, entry, levels, lists)
+    docs = assemble_document(rows, entry, levels, lists, first=spec.header)
+    whole = Window.partitionBy(TABLE, "entry_id")      # the parts of one entry
+    return docs.select(*[F.min(c).over(whole)["v"].alias(c) if c in spec.header else F.col(c) for c in docs.columns])

@@ -17,15 +17,10 @@ def parse_documents(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def to_text(doc: Column) -> Column:
-    """JSON text of a struct or VARIANT; non-ASCII stays as it is, null fields go."""
-    return F.to_json(doc)
+    """JSON text of a struct or VARIANT; non-ASCII stays as it is, null fields are written as null."""
+    return F.to_json(doc, {"ignoreNullFields": "false"})
 
 
 def write_documents(df: DataFrame, path: str, doc: str = "doc", mode: str = "errorifexists") -> None:
     """Write one JSON document per line as UTF-8."""
     df.select(to_text(F.col(doc)).alias("value")).write.mode(mode).text(path)
-
-
-def write_table(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
-    """Write a profile, finding or fingerprint table in machine form."""
-    df.write.mode(mode).format(fmt).save(path)

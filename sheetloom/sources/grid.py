@@ -19,8 +19,8 @@ def cell_columns(grid: DataFrame) -> list[str]:
 
 
 def to_grid(df: DataFrame, table: Column, order: Sequence[str | Column],
-            max_cols: int = 60, scan_rows: int | None = None) -> DataFrame:
-    """Grid of many tables: rows numbered from 1, first ``max_cols`` columns.
+            max_cols: int | None = None, scan_rows: int | None = None) -> DataFrame:
+    """Grid of many tables: rows numbered from 1; only the first ``max_cols`` columns, if given.
 
     With ``scan_rows`` only the first rows of every table stay.  The cut is taken
     twice, first per slice of a table and then per table, so that no task sees
@@ -41,6 +41,12 @@ def to_grid(df: DataFrame, table: Column, order: Sequence[str | Column],
     return grid.select(TABLE, ROW, *kept)
 
 
+def original_size(df: DataFrame, table: Column) -> DataFrame:
+    """Rows and columns per table before ``to_grid`` cuts anything: ``(table_id, n_rows, n_cols)``."""
+    return df.groupBy(table.alias(TABLE)).agg(F.count(F.lit(1)).alias("n_rows"),
+                                              F.lit(len(df.columns)).cast("bigint").alias("n_cols"))
+
+
 def _as_text(field) -> Column:
     c = F.col(field.name)
     if field.dataType.typeName() in ("double", "float"):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sheetloom.operators import nodes as N
 from sheetloom.operators import quality as Q
 from sheetloom.operators import validate as V
-from sheetloom.sources.documents import parse_documents, read_documents, write_documents
+from sheetloom.sources.documents import parse_documents, read_documents, to_text, write_documents
 from sheetloom.sources.rules import merge_checks
 
 
@@ -85,3 +85,23 @@ def test_write_keeps_non_ascii(spark, tmp_path):
     write_documents(df, str(tmp_path / "out"))
     back = read_documents(spark, str(tmp_path / "out")).collect()
     assert [json.loads(r["text"]) for r in back if r["text"]] == [{"s": "é", "n": 1}] and "é" in "".join(r["text"] for r in back)
+
+
+def test_numbers_without_fraction_are_integers_and_nulls_are_written(spark):
+    docs = parse_documents(spark.createDataFrame([(1, '{"a": 1e2}'), (2, '{"a": 1.5}'), (3, '{"a": 2.0}')], "doc_id long, text string"))
+    schema = {"type": "object", "properties": {"a": {"type": "integer"}}}
+    assert [r["doc_id"] for r in V.validate(N.nodes(docs), schema).collect()] == [2]
+    text = spark.range(1).select(to_text(F.struct(F.lit(None).cast("string").alias("a"), F.lit(1).alias("b"))).alias("t")).first()["t"]
+    assert text == '{"a":null,"b":1}'
+
+
+def test_unsupported_schemas_are_refused():
+    for schema in ({"properties": {"a": {"$ref": "#/$defs/x"}}, "$defs": {"x": {"$ref": "#/$defs/x"}}}, {"additionalProperties": {"type": "string"}}):
+        with pytest.raises(ValueError):
+            V.check_schema(schema)
+
+
+def test_paths_sort_by_number_of_any_length(spark):
+    steps = ["/a/2", "/a/10", "/a/1700000000001", "/a/1700000000000", "/a/007"]
+    rows = spark.createDataFrame([(s,) for s in steps], "p string").orderBy(V.path_order(F.col("p"))).collect()
+    assert [r["p"] for r in rows] == ["/a/2", "/a/007", "/a/10", "/a/1700000000000", "/a/1700000000001"]

@@ -98,3 +98,23 @@ def test_nearest_by_brute_force(spark, broadcast_rows):
                 top = (s, i)
         return top
     assert {r["doc_id"]: (r["similarity"], r["nearest"]) for r in got} == {i: best(t) for i, t in texts}
+
+
+def test_centroid_refuses_other_lengths(spark):
+    members = spark.createDataFrame([("f", [1.0] * 20)], "name string, vector array<double>")
+    with pytest.raises(Exception, match="another length"):
+        FM.centroid(members).collect()
+
+
+def test_tables_without_probe_rows_keep_their_rows(spark):
+    from sheetloom.operators import header as H
+    from sheetloom.operators import profile as P
+    from sheetloom.sources.grid import original_size, to_grid
+
+    grid = spark.createDataFrame([("t", 16, "a"), ("t", 17, "b"), ("u", 1, "h"), ("u", 2, "x")], "table_id string, row_idx bigint, c0 string")
+    assert sorted((r["table_id"], r["row_idx"]) for r in H.split_header(grid).collect()) == [("t", 16), ("t", 17), ("u", 2)]
+    wide = spark.range(30).select("id", *[F.lit(i).alias(f"k{i}") for i in range(69)])
+    cut = to_grid(wide, F.lit("w"), ["id"], max_cols=60, scan_rows=10)
+    assert P.dims(cut).first()["truncated"] is False
+    assert P.dims(cut, original=original_size(wide, F.lit("w"))).first()["truncated"] is True
+    assert len(to_grid(wide, F.lit("w"), ["id"]).columns) == 72

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheetloom.operators import segment as S
-from sheetloom.plans.convert import SheetSpec, convert
+from sheetloom.plans.convert import SheetSpec, convert, unassigned
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +14,7 @@ def sheet_rows():
     rows = []
     for i in range(1, 401):
         start = i in (3, 10, 11, 350)            # entry 3 of 4 holds most rows
-        rows.append(("t", i, str(i) if start else None, rnd.choice(["x", None]) if start else None,
+        rows.append(("t", i, str(i) if start else None, rnd.choice(["x", None]) if start else rnd.choice(["y", "z", None]),
                      rnd.choice(["p", "q", None, None]), rnd.choice(["v%d" % (i % 9), None, "-"])))
     return rows
 
@@ -45,6 +45,10 @@ def test_convert(spark, sheet_rows):
     got = [{"no": r["no"], "attr": r["attr"], "groups": [[g["group_key"], list(g["items"])] for g in r["groups"]]}
            for r in sorted(convert(df, spec).collect(), key=lambda r: r["entry_id"])]
     assert got == sequential(sheet_rows)
+    assert [r["row_idx"] for r in unassigned(df, spec).collect()] == [r[1] for r in sheet_rows[:2] if any(c is not None for c in r[2:])]
+    parts = convert(df, spec, part_rows=50).collect()      # attributes are those of the whole entry
+    assert {(r["entry_id"], r["no"], r["attr"]) for r in parts} == {(i, e["no"], e["attr"]) for i, e in enumerate(sequential(sheet_rows), 1)}
+    assert len(parts) > 4
 
 
 def test_long_entry_in_parts_is_whole(spark, sheet_rows):

@@ -8,7 +8,7 @@ from sheetloom.operators import corpus as C
 from . import query
 from .fixtures import read
 
-_STORE = """concat('## [', lang, '] ', source, chr(10), replace(text, concat('.', chr(10)), concat('.', chr(10), '## [note]  more', chr(10))))"""
+_STORE = """concat('## [', lang, '] ', source, chr(10), replace(text, concat('.', chr(10)), concat('.', chr(10), case when doc_id % 2 = 0 then '## [note]  more' else '## [note]' end, chr(10))))"""
 _ENTRIES_SQL = f"""store as (select doc_id, {_STORE} as t from documents),
 ls as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as pos from store),
 seg as (select *, count(*) filter (where regexp_matches(line, '^##\\s*\\[(\\w+)\\]')) over (partition by doc_id order by pos) as entry_no from ls),

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheetloom.operators import nodes as ND
@@ -231,7 +232,7 @@ def _(spark, d):
 _DUP_SQL = """dup as (select doc_id, path, 'duplicate_array_items' as category, case when kind in ('object', 'array') then '(complex item)' else value end as value from (
   select *, row_number() over (partition by doc_id, regexp_replace(path, '/\\d+$', ''), cast(node as varchar) order by cast(regexp_extract(path, '\\d+$') as bigint)) as n
   from tree where regexp_matches(path, '/\\d+$')) where n > 1)"""
-_MIX_SQL = """mix as (select doc_id, '(global)' as path, 'empty_vs_null' as category, 'both "" and null occur; standardize on one' as value from tree
+_MIX_SQL = """mix as (select doc_id, '(global)' as path, 'empty_vs_null' as category, 'empty strings and nulls both occur; use one of them' as value from tree
   group by doc_id having bool_or(kind = 'null') and bool_or(kind = 'string' and value = ''))"""
 _FOUND_SQL = f"""{DOCS_SQL}, {_DUP_SQL}, {_MIX_SQL}, found as (
   {' union all '.join(f"select doc_id, path, '{n}' as category, value from tree where kind = 'string' and {p}" for n, p in _is('value').items())}
@@ -249,7 +250,7 @@ def mixed_docs(spark, d):
     return D.parse_documents(read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
 
 
-@query("dq_empty_vs_null", """select c_custkey as doc_id, '(global)' as path, 'empty_vs_null' as category, 'both "" and null occur; standardize on one' as value
+@query("dq_empty_vs_null", """select c_custkey as doc_id, '(global)' as path, 'empty_vs_null' as category, 'empty strings and nulls both occur; use one of them' as value
   from customer where c_custkey % 2 = 0 and c_custkey % 3 = 0""")
 def _(spark, d):
     return Q.empty_vs_null(ND.nodes(mixed_docs(spark, d)))
@@ -272,9 +273,9 @@ def _(spark, d):
   row_number() over (order by case {_SEV} when 'error' then 0 when 'warn' then 1 else 2 end, count(*) desc, category) as place from found group by category""")
 def _(spark, d):
     # the ordered summary is one row per check; its order becomes a column to compare
-    ordered = Q.order_summary(Q.dq_summary(Q.dq_scan(tree(spark, d))))
-    return ordered.groupBy().agg(F.collect_list(F.struct("category", "severity", "count")).alias("all")).select(
-        F.posexplode("all").alias("p", "s")).select("s.*", (F.col("p") + 1).cast("bigint").alias("place"))
+    summary = Q.dq_summary(Q.dq_scan(tree(spark, d)))
+    place = F.row_number().over(Window.orderBy(*Q.summary_order()))   # a row per check
+    return Q.order_summary(summary.withColumn("place", place.cast("bigint")))
 
 
 @query("dq_samples", f"""with {_FOUND_SQL}, r as (select *, row_number() over (partition by category order by doc_id, path) as rank from found)

@@ -56,13 +56,13 @@ def _(spark, d):
 
 @query("cosine_to_families", f"with {SCORED_SQL} select vec_id, r as rank, name, round(score, 6) + 0.0 as score from ranked")
 def _(spark, d):
-    out = FM.top_matches(vectors(spark, d), fams(spark, d), n=1000, key="vec_id")
+    out = FM.top_matches(vectors(spark, d), fams(spark, d), n=None, key="vec_id")
     return out.select("vec_id", "rank", "name", F.round("score", 6).alias("score"))
 
 
 @query("score_against_all", f"""with {SCORED_SQL} select vec_id, count(*) as n_families, round(min(score), 6) + 0.0 as worst, round(max(score), 6) + 0.0 as best from scored group by vec_id""")
 def _(spark, d):
-    out = FM.top_matches(vectors(spark, d), fams(spark, d), n=1000, key="vec_id", block_rows=4)
+    out = FM.top_matches(vectors(spark, d), fams(spark, d), n=None, key="vec_id", block_rows=4)
     return out.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_families"), F.round(F.min("score"), 6).alias("worst"),
                                      F.round(F.max("score"), 6).alias("best"))
 

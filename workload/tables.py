@@ -129,10 +129,10 @@ def _(spark, d):
     return P.top_values(P.key_counts(typed_cells(spark, d)), cap_keys=200)
 
 
-@query("max_text_length", f"with {LINES_SQL} select table_id, cast(coalesce(max(case when not {sql_blank('c0')} then length(c0) end), 0) as integer) as max_len from lines group by table_id")
+@query("max_text_length", f"with {LINES_SQL} select table_id, cast(c as integer) as col_idx, cast(coalesce(max(case when not {sql_blank('v')} then length(v) end), 0) as integer) as max_len from (select table_id, unnest([0, 1]) as c, unnest([c0, c1]) as v from lines) group by all")
 def _(spark, d):
     stats = P.column_stats(P.key_counts(to_cells(lines(spark, d))))
-    return stats.filter("col_idx = 0").select("table_id", "max_len")
+    return stats.select("table_id", "col_idx", "max_len")
 
 
 @query("column_profile", f"""with {KEYS_SQL},
