@@ -3,7 +3,8 @@
 All n-grams are put in one global order, rare ones first; how rare is judged by a
 sketch of fixed size over all documents, which only orders and never decides.  Two
 sets that link have a common n-gram among the first few of both (their prefixes),
-so sets meet in blocks by n-gram of their prefixes.  Blocks do not expand into pairs:
+so sets meet in blocks by n-gram of their prefixes.  Blocks with the same members are
+merged into one, with the best place of each member.  Blocks do not expand into pairs:
 in every round each block compares its members with one pivot, drawn by a hash, and
 links merge members into components; a block whose members are all in one component
 is done.  After ``PIVOT_ROUNDS`` rounds the pairs that are still in different components
@@ -31,9 +32,11 @@ from .components import components
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4      # similarity of 0.75 or more
-SKETCH_BITS = 20                   # counters of the sketch: 4 MB, whatever the input
+SKETCH_BITS = 19                   # counters of the sketch: 2 MB, whatever the input
 FILTER_BITS = 24                   # bits of the filter of candidate rows: 2 MB, whatever the input
 PIVOT_ROUNDS = 3
+MERGED_ROWS = 100_000              # longer blocks are not compared with others
+BROADCAST_KEYS = 200_000           # so many keys are sent to all tasks to choose sets there; more are joined
 GROUP_SETS = 1_000                 # sets that meet a pivot in one task
 _BLOCK = 1 << 10
 _KEPT_WORDS = 400_000
@@ -101,13 +104,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = None
     for batch in batches:
         kind = batch.column(1).type
-        keys, sizes = [], []
-        for text in batch.column(2).to_pylist():
-            s = shingle_set(text)
-            keys.append(_key(s))
-            sizes.append(len(s))
-            # members are distinct; several may share a counter, hence not simply += 1 at them
-            np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
+        keys, sizes = [_key(s) for s in sets], [len(s) for s in sets]
+        for i in range(0, len(sets), 1000):
+            at = (np.concatenate(sets[i:i + 1000]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            sketch += np.bincount(at, minlength=len(sketch)).astype(np.uint32)
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()),
                                           pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
@@ -138,27 +139,48 @@ def needed(a: np.ndarray | int, b: np.ndarray | int):
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct rows of the blocks that have two classes or more, from rows sorted by (token, key).
 
-    Streams: of an unfinished block only its last row is held.
+    A block is named by a hash of its members, so that equal ones get one name; one of
+    more than ``MERGED_ROWS`` rows keeps its token as name and streams through.
     """
-    held, held_live = None, False
+    held: list[np.ndarray] | None = None       # rows of the unfinished block
+    long = False                               # it streams; of its rows only the last is held
+
+    def out(t, k, n, p):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (t, k, n, p)], names=["_token", "_key", "_n", "_at"])
+
+    def named(t, k, n, p):
+        """Finished blocks under the names of their members."""
+        starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        lengths = np.diff(np.append(starts, len(t)))
+        names = np.add.reduceat(mix(k.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)), starts) ^ mix(lengths.astype(np.uint64))
+        rows = np.repeat(lengths > 1, lengths)
+        return out(np.repeat(names, lengths)[rows].view(np.int64), k[rows], n[rows], p[rows])
+
     for batch in batches:
         t, k, n, p = (batch.column(i).to_numpy() for i in range(4))
-        if held is not None:
-            t, k, n, p = (np.append(h, x) for h, x in zip(held, (t, k, n, p)))
         if not len(t):
             continue
-        keep = np.ones(len(t), bool)
-        keep[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+        if held is not None:
+            t, k, n, p = (np.concatenate([h, x]) for h, x in zip(held, (t, k, n, p)))
+        keep = np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]))
         t, k, n, p = t[keep], k[keep], n[keep], p[keep]
-        starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        lengths = np.diff(np.append(starts, len(t)))
-        live = lengths > 1
-        live[0] |= held_live
-        rows = np.repeat(live, lengths)
-        if held_live:
-            rows[0] = False       # sent before
-        held, held_live = [x[-1:] for x in (t, k, n, p)], bool(live[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (t, k, n, p)], names=["_token", "_key", "_n", "_at"])
+        if long:
+            end = int(np.searchsorted(t != t[0], True))       # rows of the block that streams; its first was sent
+            if end > 1:
+                yield out(t[1:end], k[1:end], n[1:end], p[1:end])
+            if end == len(t):
+                held = [x[-1:] for x in (t, k, n, p)]
+                continue
+            t, k, n, p, long = t[end:], k[end:], n[end:], p[end:], False
+        last = int(np.flatnonzero(np.append(True, t[1:] != t[:-1]))[-1])
+        if last:
+            yield named(t[:last], k[:last], n[:last], p[:last])
+        held = [x[last:] for x in (t, k, n, p)]
+        if len(held[0]) > MERGED_ROWS:
+            yield out(*held)
+            held, long = [x[-1:] for x in held], True
+    if held is not None and not long:
+        yield named(*held)
 
 
 def walk(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
@@ -202,7 +224,7 @@ def join_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         _describe, f"_row long, _id {id_type}, _key long, _n int, _block int, _counts binary"))
     classes = described.filter("_block is null").select("_row", "_id", "_key", "_n")
     sums = described.filter("_block is not null").select("_block", "_counts").groupBy("_block").applyInArrow(
-        _sum_blocks, "_block int, _counts binary").collect()          # at most 4 MB by SKETCH_BITS
+        _sum_blocks, "_block int, _counts binary").collect()          # at most 2 MB by SKETCH_BITS
     counts = np.zeros((1 << SKETCH_BITS) // _BLOCK * _BLOCK, np.uint32).reshape(-1, _BLOCK)
     for r in sums:
         counts[r["_block"]] = np.frombuffer(r["_counts"], "<u4")
@@ -230,7 +252,8 @@ def join_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     shape = "_token long, _key long, _n int, _at int"
     blocks = stage(docs.select("_text").mapInArrow(postings, shape).repartition(partitions(df), "_token")
-                   .sortWithinPartitions("_token", "_key").mapInArrow(_live, shape))
+                   .sortWithinPartitions("_token", "_key").mapInArrow(_live, shape)
+                   .groupBy("_token", "_key").agg(F.max("_n").alias("_n"), F.min("_at").alias("_at")))
 
     # sets of the classes that stand in a block, of one document each
     firsts = classes.groupBy("_key").agg(F.min("_row").alias("_row"))
@@ -245,14 +268,13 @@ def join_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     def sets(batches):
         held = np.unpackbits(maybe.value).astype(bool)
         for batch in batches:
-            passed = held[batch.column(1).to_numpy()]
-            rows, found = batch.column(0).to_numpy()[passed], []
-            for t in batch.column(2).filter(pa.array(passed)).to_pylist():
-                found.append(shingle_set(t).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(found, pa.binary())], names=["_row", "_set"])
+            passed = held[batch.column(0).to_numpy()]
+            found = [shingle_set(t) for t in batch.column(1).filter(pa.array(passed)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
+                                             names=["_key", "_set"])
 
-    store = stage(docs.select("_row", F.pmod(F.xxhash64("_row"), F.lit(1 << FILTER_BITS)).alias("_bit"), "_text")
-                  .mapInArrow(sets, "_row long, _set binary").join(wanted, "_row").select("_key", "_set"))
+    # a bit may let a row more pass, which does no harm: its set is one that is here or that no pair names
+    store = stage(docs.select(F.pmod(F.xxhash64("_row"), F.lit(1 << FILTER_BITS)).alias("_bit"), "_text").mapInArrow(sets, "_key long, _set binary"))
 
     roots = None          # (node, root) of classes that are linked so far
     links = None
@@ -305,14 +327,20 @@ def _pairs(blocks: DataFrame, roots: DataFrame | None, turn: int | None) -> Data
     return blocks.join(pivots, "_token").filter(able).select("_pivot", "_key").distinct()
 
 
+def _among(store: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Sets of these keys; of few keys only these sets move."""
+    keys = stage(keys.select(F.col(key).alias("_key")).distinct())
+    return store.join(F.broadcast(keys), "_key", "left_semi") if keys.count() <= BROADCAST_KEYS else store
+
+
 def _compare(pairs: DataFrame, store: DataFrame) -> DataFrame:
     """Links ``(a, b)`` among the pairs; the sets that meet one pivot are spread over groups of bounded size."""
     shares = pairs.groupBy("_pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_SETS)).alias("_shares"))
     queries = (shares.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)))
-               .join(store.select(F.col("_key").alias("_pivot"), "_set"), "_pivot").select("_pivot", "_share", "_set")
+               .join(_among(store, pairs, "_pivot").select(F.col("_key").alias("_pivot"), "_set"), "_pivot").select("_pivot", "_share", "_set")
                .toDF("_query", "_part", "_set"))
     members = (pairs.join(shares, "_pivot").withColumn("_share", F.pmod(F.xxhash64("_key"), F.col("_shares")))
-               .join(store, "_key").select("_pivot", "_share", "_key", "_set"))
+               .join(_among(store, pairs, "_key"), "_key").select("_pivot", "_share", "_key", "_set"))
 
     def meet(one: pa.Table, many: pa.Table) -> pa.Table:
         if not one.num_rows or not many.num_rows:
