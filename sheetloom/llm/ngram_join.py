@@ -81,6 +81,15 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
+def rolling_at(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every n-th window of ``n`` words, those that do not overlap."""
+    rows = words[:len(words) // n * n].reshape(-1, n)
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(n):
+        h += rows[:, k] * _factor(k)
+    return mix(h)
+
+
 def _factor(k: int) -> np.uint64:
     return np.uint64(int(_FACTORS[k % 16]) * (2 * (k // 16) + 1) & (2**64 - 1))
 

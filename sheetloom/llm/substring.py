@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, stage, whole
-from .ngram_join import mix, rolling, word_hashes
+from .ngram_join import mix, rolling, rolling_at, word_hashes
 
 WINDOW = 20
 BLOCK = 10               # a window of 2 * BLOCK - 1 words or more holds a whole reference block
@@ -52,17 +52,37 @@ def _test(table: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+_HALF = BLOCK // 2
+_TURN = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _halves(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all rolling blocks and of all windows (two blocks in a row)."""
-    h = rolling(words, BLOCK)
-    if len(h) <= BLOCK:
-        return h, np.empty(0, np.uint64)
-    return h, mix(h[:-BLOCK] * np.uint64(0x9E3779B97F4A7C15) + h[BLOCK:])
+    """Hashes of all rolling blocks and of all windows; each is made of two halves in a row."""
+    h = rolling(words, _HALF)
+    blocks = mix(h[:-_HALF] * _TURN + h[_HALF:]) if len(h) > _HALF else h[:0]
+    return blocks, mix(blocks[:-BLOCK] * _TURN + blocks[BLOCK:]) if len(blocks) > BLOCK else blocks[:0]
+
+
+def _own_blocks(words: np.ndarray) -> np.ndarray:
+    """Hashes of the reference blocks alone, the same as ``_halves`` gives at their places."""
+    count = len(words) // BLOCK
+    h = rolling_at(words[:count * BLOCK], _HALF)
+    return mix(h[::2] * _TURN + h[1::2])
+
+
+def _repeated_here(windows: np.ndarray) -> np.ndarray | None:
+    """Marks windows that also start earlier in the same row; None if there are none."""
+    s = np.sort(windows)
+    if not (s[1:] == s[:-1]).any():
+        return None
+    later = np.ones(len(windows), bool)
+    later[np.unique(windows, return_index=True)[1]] = False
+    return later
 
 
 def _reference_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [rolling(word_hashes(t, False), BLOCK)[::BLOCK] for t in batch.column(0).to_pylist()]
+        found = [_own_blocks(word_hashes(t, False)) for t in batch.column(0).to_pylist()]
         h = np.concatenate(found) if found else np.empty(0, np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - SLICE_BITS)).astype(np.int32)), pa.array(h.view(np.int64))],
                                          names=["_slice", "_h"])
@@ -137,7 +157,9 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
                 seen = np.concatenate([[0], np.cumsum(hits)])
                 found = np.flatnonzero(seen[BLOCK + 1:] > seen[:-BLOCK - 1])
                 if len(found):
-                    found = found[np.sort(np.unique(windows[found], return_index=True)[1])]    # later ones in the row are known to repeat
+                    later = _repeated_here(windows[found])
+                    if later is not None:
+                        found = found[~later]           # that they repeat is known where the text is
                     hashes.append(windows[found])
                     orders.append(np.full(len(found), at))
                     rows.append(np.full(len(found), row))
@@ -181,9 +203,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             repeats = np.zeros(len(windows), bool)
             repeats[np.concatenate(starts).astype(np.int64) if starts else []] = True
             if len(windows):
-                local = np.ones(len(windows), bool)
-                local[np.unique(windows, return_index=True)[1]] = False
-                repeats |= local          # windows that start earlier in the same row
+                local = _repeated_here(windows)
+                if local is not None:
+                    repeats |= local
                 at = np.flatnonzero(repeats)
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + WINDOW, -1)
