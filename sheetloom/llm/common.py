@@ -28,6 +28,13 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what a task holds beside a batch stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def keep_rows(df: DataFrame, decide: Callable[[], Callable[[str], bool]], text: str = "text") -> DataFrame:
     """Rows whose text (a null one as empty) passes, with all their columns; ``decide`` makes the test once a task."""
     at = df.columns.index(text)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stage, whole
+from .common import in_slices, partitions, stage, whole
 from .components import components
 
 SHINGLE = 5
@@ -36,10 +36,10 @@ SKETCH_BITS = 19                   # counters of the sketch: 2 MB, whatever the
 FILTER_BITS = 24                   # bits of the filter of candidate rows: 2 MB, whatever the input
 PIVOT_ROUNDS = 3
 MERGED_ROWS = 100_000              # longer blocks are not compared with others
-BROADCAST_KEYS = 200_000           # so many keys are sent to all tasks to choose sets there; more are joined
+BROADCAST_PAIRS = 400_000          # so many pairs of keys are sent to where the sets are; more are joined
 GROUP_SETS = 1_000                 # sets that meet a pivot in one task
 _BLOCK = 1 << 10
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 200_000
 _STEP = 64                         # members of a set between two tests of the remaining-length bound
 
 _FACTORS = np.random.default_rng(9).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,13 +111,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["_row", "_id", "_key", "_n", "_block", "_counts"]
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     kind = None
-    for batch in batches:
+    for batch in in_slices(batches):
         kind = batch.column(1).type
         sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
         keys, sizes = [_key(s) for s in sets], [len(s) for s in sets]
-        for i in range(0, len(sets), 1000):
-            at = (np.concatenate(sets[i:i + 1000]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-            sketch += np.bincount(at, minlength=len(sketch)).astype(np.uint32)
+        at = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+        sketch += np.bincount(at, minlength=len(sketch)).astype(np.uint32)
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()),
                                           pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
@@ -242,7 +241,7 @@ def join_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     def postings(batches):
         common = rarity.value
-        for batch in batches:
+        for batch in in_slices(batches):
             tokens, keys, sizes, places = [], [], [], []
             for t in batch.column(0).to_pylist():
                 s = shingle_set(t)
@@ -276,7 +275,7 @@ def join_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     def sets(batches):
         held = np.unpackbits(maybe.value).astype(bool)
-        for batch in batches:
+        for batch in in_slices(batches):
             passed = held[batch.column(0).to_numpy()]
             found = [shingle_set(t) for t in batch.column(1).filter(pa.array(passed)).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
@@ -336,20 +335,15 @@ def _pairs(blocks: DataFrame, roots: DataFrame | None, turn: int | None) -> Data
     return blocks.join(pivots, "_token").filter(able).select("_pivot", "_key").distinct()
 
 
-def _among(store: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Sets of these keys; of few keys only these sets move."""
-    keys = stage(keys.select(F.col(key).alias("_key")).distinct())
-    return store.join(F.broadcast(keys), "_key", "left_semi") if keys.count() <= BROADCAST_KEYS else store
-
-
 def _compare(pairs: DataFrame, store: DataFrame) -> DataFrame:
     """Links ``(a, b)`` among the pairs; the sets that meet one pivot are spread over groups of bounded size."""
+    sent = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda df: df
     shares = pairs.groupBy("_pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_SETS)).alias("_shares"))
-    queries = (shares.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)))
-               .join(_among(store, pairs, "_pivot").select(F.col("_key").alias("_pivot"), "_set"), "_pivot").select("_pivot", "_share", "_set")
-               .toDF("_query", "_part", "_set"))
-    members = (pairs.join(shares, "_pivot").withColumn("_share", F.pmod(F.xxhash64("_key"), F.col("_shares")))
-               .join(_among(store, pairs, "_key"), "_key").select("_pivot", "_share", "_key", "_set"))
+    wanted = shares.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)))
+    queries = (store.select(F.col("_key").alias("_pivot"), "_set").join(sent(wanted), "_pivot")
+               .select("_pivot", "_share", "_set").toDF("_query", "_part", "_set"))
+    dealt = pairs.join(shares, "_pivot").select("_pivot", "_key", F.pmod(F.xxhash64("_key"), F.col("_shares")).alias("_share"))
+    members = store.join(sent(dealt), "_key").select("_pivot", "_share", "_key", "_set")
 
     def meet(one: pa.Table, many: pa.Table) -> pa.Table:
         if not one.num_rows or not many.num_rows:

@@ -154,7 +154,7 @@ def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), pa.array(y, pa.float64())], names=["h", "x", "y"])
 
     # equal texts have equal hashes: of many copies one is enough, so the sample keeps its bound
-    sample = hashed.dropDuplicates(["_h"]).limit(2 * rows).mapInArrow(describe, "h long, x binary, y double").collect()
+    sample = hashed.dropDuplicates(["_h"]).mapInArrow(describe, "h long, x binary, y double").collect()
     sample.sort(key=lambda r: r["h"])
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in sample])
     return Model(*_logistic(x, np.array([r["y"] for r in sample])))
