@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stage, whole
+from .common import in_slices, partitions, stage, whole
 from .ngram_join import mix, rolling, rolling_at, word_hashes
 
 WINDOW = 20
@@ -81,11 +81,12 @@ def _repeated_here(windows: np.ndarray) -> np.ndarray | None:
 
 
 def _reference_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches, 5_000):
         found = [_own_blocks(word_hashes(t, False)) for t in batch.column(0).to_pylist()]
-        h = np.concatenate(found) if found else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - SLICE_BITS)).astype(np.int32)), pa.array(h.view(np.int64))],
-                                         names=["_slice", "_h"])
+        # a block that many documents share leaves a batch once, marked as repeated
+        h, counts = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - SLICE_BITS)).astype(np.int32)), pa.array(h.view(np.int64)),
+                                          pa.array(counts > 1)], names=["_slice", "_h", "_twice"])
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,6 +99,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         slices, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        twice = batch.column(2).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(np.append(True, slices[1:] != slices[:-1])) if len(slices) else []
         for a, b in zip(starts, [*starts[1:], len(slices)]):
             if current != int(slices[a]):
@@ -111,7 +113,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 again[0] = False
             last = h[-1]
             _set(one, h[~again].view(np.uint64), WIDE)
-            _set(two, h[again].view(np.uint64), NARROW)
+            _set(two, h[again | twice[a:b]].view(np.uint64), NARROW)
     if current is not None:
         yield done()
 
@@ -134,7 +136,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     docs = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(doc_id, *carry).alias("_id"), whole(text).alias("_text"))
     id_type = docs.schema["_id"].dataType.simpleString()
     order = F.coalesce(F.col("_id")[doc_id].cast("long"), F.lit(-2**63).cast("long"))
-    slices = (docs.select("_text").mapInArrow(_reference_blocks, "_slice int, _h long").repartition(partitions(df), "_slice")
+    slices = (docs.select("_text").mapInArrow(_reference_blocks, "_slice int, _h long, _twice boolean").repartition(partitions(df), "_slice")
               .sortWithinPartitions("_slice", "_h").mapInArrow(_tables, "_slice int, _all binary, _repeated binary"))
     every = np.zeros((1 << SLICE_BITS, 1 << (WIDE - 3)), np.uint8)
     repeated = np.zeros((1 << SLICE_BITS, 1 << (NARROW - 3)), np.uint8)
@@ -145,7 +147,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
 
     def probe(batches):
         blocks_of, again = index.value
-        for batch in batches:
+        for batch in in_slices(batches):
             hashes, orders, rows, starts = [], [], [], []
             for row, at, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 blocks, windows = _halves(word_hashes(t, False))
