@@ -66,6 +66,8 @@ class Trie:
 
     def __init__(self, levels: list[dict]):
         self.levels = levels
+        # every query starts at a single symbol: those few pointers are unpacked once
+        self.first = levels[1]["starts"].get(np.arange(len(levels[0]["p"]) + 1)) if len(levels) > 1 else None
 
     @staticmethod
     def build(single: np.ndarray, seen: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]) -> "Trie":
@@ -139,7 +141,10 @@ class Trie:
         alive = np.flatnonzero(context >= 0)
         for v in self.levels[1:]:
             node = context[alive]
-            a, b = v["starts"].get(node), v["starts"].get(node + 1)
+            if v is self.levels[1]:
+                a, b = self.first[node], self.first[node + 1]
+            else:
+                a, b = v["starts"].get(node), v["starts"].get(node + 1)
             low, high, wanted = a.copy(), b.copy(), rank[alive]
             wide = np.flatnonzero(low < high)
             while len(wide):

@@ -58,11 +58,20 @@ def _count(batches):
         yield rows()
 
 
+class _Of(dict):
+    """Symbols of words, ``rare`` for all others."""
+    rare = 0
+
+    def __missing__(self, word: bytes) -> int:
+        return self.rare
+
+
 class Symbols:
     """Words of their own are 0, 1 ...; then other known words, unknown ones, the end, and what stands in front."""
 
     def __init__(self, words: list[bytes]):
-        self.of = {w: i for i, w in enumerate(words)}
+        self.of = _Of({w: i for i, w in enumerate(words)})
+        self.of.rare = len(words)
         self.rare, self.unknown, self.end, self.front = range(len(words), len(words) + 4)
         self.count = len(words) + 4
 
@@ -71,9 +80,20 @@ class Symbols:
         parts: list[int] = []
         for t in texts:
             parts.append(self.front)
-            parts.extend([self.of.get(w, self.rare) for w in words_of(t)])
+            parts.extend(map(self.of.__getitem__, words_of(t)))
             parts.append(self.end)
-        return np.array(parts, np.int64)
+        return np.fromiter(parts, np.int64, len(parts))
+
+
+def _place(grams: np.ndarray) -> np.ndarray:
+    return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+
+
+def _sieve(grams: np.ndarray) -> np.ndarray:
+    """A table of 2 ** 24 flags by a hash of each n-gram, to pass over most that are not kept."""
+    table = np.zeros(1 << 24, bool)
+    table[_place(grams)] = True
+    return table
 
 
 def least_count(counted: DataFrame, most: int = MAX_GRAMS) -> int:
@@ -143,11 +163,15 @@ def score_documents(df: DataFrame, learn=None, doc_id: str = "doc_id", text: str
 
     def triples(batches):
         own, kept = shared.value, held.value
+        sieve = _sieve(kept)
         for batch in batches:
             s = own.texts(batch.column(0).to_pylist())
             pair = s[:-1] * own.count + s[1:]
-            at = np.minimum(np.searchsorted(kept, pair), max(len(kept) - 1, 0))
-            fine = (kept[at] == pair) & (s[1:] != own.front) if len(kept) else np.zeros(len(pair), bool)
+            fine = np.zeros(len(pair), bool)
+            likely = np.flatnonzero(sieve[_place(pair)] & (s[1:] != own.front))
+            if len(likely):
+                at = np.minimum(np.searchsorted(kept, pair[likely]), len(kept) - 1)
+                fine[likely] = kept[at] == pair[likely]
             both = np.flatnonzero(fine[:-1] & fine[1:])
             g, n = np.unique(pair[both] * own.count + s[both + 2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["_g", "_n"])
@@ -176,7 +200,7 @@ def score_documents(df: DataFrame, learn=None, doc_id: str = "doc_id", text: str
         names, c = given.column("_w").to_pylist(), given.column("_c").to_numpy()
         place = {w: i for i, w in enumerate(names)}
         base, known = base_of(c), c > 0
-        symbol = np.array([own.of.get(w, own.rare) for w in names], np.int64)
+        symbol = np.fromiter(map(own.of.__getitem__, names), np.int64, len(names))
         symbol[~known] = own.unknown
         inside = np.where(symbol == own.rare, np.log10(np.maximum(c, 1) / rare), 0.0)
         out: dict[str, list] = {k: [] for k in ("n", "known", "base", "score")}
