@@ -48,24 +48,27 @@ def dehyphenate(c: Column, merge_no_space: bool = False,
     """Join words broken over a line; optionally join intra-word hyphens as well.
 
     A reduplication (equal halves, or one half of three characters or more that
-    starts or ends the other, ignoring case) is kept.  It is recognised by back
-    references, so that the whole repair is one regular expression per step.
+    starts or ends the other, ignoring case) is kept.  The text is cut into words,
+    hyphenated pairs and what lies between, and the halves of each pair are compared
+    directly, so time grows with the length of the text alone.
     """
     s = F.regexp_replace(c, f"({WORD})-{SPACE}+({WORD})", "$1$2")
     if not merge_no_space:
         return s
     if not protect_reduplication:
         return F.regexp_replace(s, f"({WORD}+)-({WORD}+)", "$1$2")
-    w, end = WORD, f"(?!{WORD})"
-    doubled = "|".join([
-        rf"({w}+)-\2{end}",              # equal halves
-        rf"({w}{{3,}})-\3{w}*",          # right half starts with the left
-        rf"({w}{{3,}})-{w}*\4{end}",     # right half ends with the left
-        rf"({w}{{3,}}){w}*-\5{end}",     # left half starts with the right
-        rf"{w}*({w}{{3,}})-\6{end}",     # left half ends with the right
-    ])
-    # a match can only start at the start of a word, which spares the engine the rest
-    return F.regexp_replace(s, f"(?iu)(?<!{w})(?={w}++-{w})(?:({doubled})|({w}+)-({w}+))", "$1$7$8")
+    w, other = WORD, WORD.replace("[", "[^", 1)
+    pieces = F.regexp_extract_all(s, F.lit(f"{w}++-{w}++|{w}++|{other}++"), F.lit(0))
+
+    def joined(piece: Column) -> Column:
+        left, right = F.substring_index(piece, "-", 1), F.substring_index(piece, "-", -1)
+        a, b = F.lower(left), F.lower(right)
+        doubled = ((a == b) | ((F.length(a) >= 3) & (F.startswith(b, a) | F.endswith(b, a)))
+                   | ((F.length(b) >= 3) & (F.startswith(a, b) | F.endswith(a, b))))
+        pair = piece.rlike(f"^{w}++-{w}++$")
+        return F.when(pair & ~doubled, F.concat(left, right)).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, joined), "")
 
 
 def strip_trailing_words(c: Column, words: Iterable[str] = CONJUNCTIONS) -> Column:
