@@ -1,7 +1,7 @@
 """Structural fingerprints: header-agnostic features and vectors of tables."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -59,8 +59,11 @@ def features(profile: DataFrame, dims: DataFrame, gaps: DataFrame | None = None,
     """Thirteen features per table in one aggregation over the column profiles.
 
     ``dims`` has ``(table_id, max_row)``, ``gaps`` ``(table_id, gaps)`` and
-    ``merged`` ``(table_id, merged)``; absent rows count as zero.
+    ``merged`` ``(table_id, merged)``; absent rows count as zero.  Columns behind a table's
+    last one with a cell or a header belong to wider tables of the grid and do not count.
     """
+    used = F.max(F.when((F.col("nonempty") > 0) | (F.col("header") != ""), F.col("col_idx"))).over(Window.partitionBy(TABLE))
+    profile = profile.withColumn("_last", used).filter(F.col("col_idx") <= F.col("_last")).drop("_last")
     styles = {f"_s{i}": has_style(p) for i, (_, p) in enumerate(T.NUMBERING_STYLES)}
     flagged = profile.select("*", *[c.alias(n) for n, c in styles.items()])
     any_style = F.greatest(*[F.col(n) for n in styles])

@@ -123,16 +123,18 @@ def dims(grid: DataFrame, max_cols: int = 60, scan_rows: int = 5000, original: D
     """Rows, columns, the scanned window, and whether the table is larger than it.
 
     A grid that ``to_grid`` has cut no longer shows it; ``original``
-    (``grid.original_size``) gives the sizes from before the cut.
+    (``grid.original_size``) gives the sizes from before the cut.  A table is as wide as its
+    last column with any cell, whatever else the grid holds.
     """
-    n_cols = len(cell_columns(grid))
-    seen = grid.groupBy(TABLE).agg(F.max(ROW).alias("max_row"))
-    rows, cols = F.col("max_row"), F.lit(n_cols)
+    zero = F.lit(0).cast("bigint")
+    width = F.greatest(zero, zero, *[F.when(F.col(c).isNotNull(), F.lit(i).cast("bigint")) for i, c in enumerate(cell_columns(grid), 1)])
+    seen = grid.groupBy(TABLE).agg(F.max(ROW).alias("max_row"), F.max(width).alias("max_col"))
+    rows, cols = F.col("max_row"), F.col("max_col")
     if original is not None:
         seen = seen.join(original.select(TABLE, "n_rows", "n_cols"), TABLE, "left")
-        rows, cols = F.greatest("max_row", "n_rows"), F.greatest(F.lit(n_cols), "n_cols")
+        rows, cols = F.greatest("max_row", "n_rows"), F.greatest("max_col", "n_cols")
     return seen.select(
-        TABLE, "max_row", F.lit(n_cols).cast("bigint").alias("max_col"),
+        TABLE, "max_row", "max_col",
         F.least("max_row", F.lit(scan_rows).cast("bigint")).alias("scanned_rows"),
         ((rows > scan_rows) | (cols > max_cols)).alias("truncated"))
 

@@ -118,3 +118,17 @@ def test_tables_without_probe_rows_keep_their_rows(spark):
     assert P.dims(cut).first()["truncated"] is False
     assert P.dims(cut, original=original_size(wide, F.lit("w"))).first()["truncated"] is True
     assert len(to_grid(wide, F.lit("w"), ["id"]).columns) == 72
+
+
+def test_a_narrow_table_beside_a_wide_one(spark):
+    from sheetloom.operators import profile as P
+    from sheetloom.plans.inspect import inspect
+
+    rows = [("n", i, "no" if i == 1 else str(i), "name" if i == 1 else f"text {i}", None) for i in range(1, 21)]
+    wide = [("w", i, "no" if i == 1 else str(i), "name" if i == 1 else f"text {i}", "unit" if i == 1 else "kg") for i in range(1, 21)]
+    schema = "table_id string, row_idx bigint, c0 string, c1 string, c2 string"
+    both, alone = spark.createDataFrame(rows + wide, schema), spark.createDataFrame([r[:4] for r in rows], schema.rsplit(",", 1)[0])
+    assert {r["table_id"]: r["max_col"] for r in P.dims(both).collect()} == {"n": 2, "w": 3}
+    shared = {r["table_id"]: r for r in inspect(both).fingerprints().collect()}
+    assert shared["n"]["ncol"] == 2 and shared["w"]["ncol"] == 3 and shared["n"]["min_fill"] == 1.0
+    assert list(shared["n"]["vector"]) == list(inspect(alone).fingerprints().collect()[0]["vector"])

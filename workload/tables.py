@@ -64,7 +64,7 @@ def _(spark, d):
 
 # ---- table dimensions ----------------------------------------------------------------
 
-@query("table_dimensions", f"""with {LINES_SQL} select table_id, max(row_idx) as max_row, cast(2 as bigint) as max_col,
+@query("table_dimensions", f"""with {LINES_SQL} select table_id, max(row_idx) as max_row, cast(max(case when c1 is not null then 2 when c0 is not null then 1 else 0 end) as bigint) as max_col,
   least(max(row_idx), 20) as scanned_rows from lines group by table_id""")
 def _(spark, d):
     return P.dims(lines(spark, d), scan_rows=20).drop("truncated")
