@@ -40,8 +40,10 @@ def words_of(text: str) -> list[bytes]:
 
 def _count(batches):
     held: Counter = Counter()
+    others: dict[bytes, int] = {}     # words of texts that are not learned from; a plain dict, which sets subtract fast
 
     def rows():
+        held.update(others)
         return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["_w", "_c"])
 
     for batch in batches:
@@ -50,11 +52,12 @@ def _count(batches):
             if learn:
                 held.update(words)
             else:
-                held.update(dict.fromkeys(set(words).difference(held), 0))
-            if len(held) > _TASK_WORDS:
+                others.update(dict.fromkeys(set(words).difference(others), 0))
+            if len(held) + len(others) > _TASK_WORDS:
                 yield rows()
                 held.clear()
-    if held:
+                others.clear()
+    if held or others:
         yield rows()
 
 
