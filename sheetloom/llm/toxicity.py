@@ -25,7 +25,7 @@ FEATURES = 1_024         # features that get a weight
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 COUNTERFACTUAL = 5.0     # weight of the squared score change
-RIDGE = 0.02
+RIDGE = 0.3
 _KEPT_WORDS = 300_000
 _EDGE = b".,;:!?\"'()[]{}<>*&%$#|-_/\\~^+="
 

