@@ -34,7 +34,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4      # similarity of 0.75 or more
 SKETCH_BITS = 19                   # counters of the sketch: 2 MB, whatever the input
 FILTER_BITS = 24                   # bits of the filter of candidate rows: 2 MB, whatever the input
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 MERGED_ROWS = 100_000              # longer blocks are not compared with others
 BROADCAST_PAIRS = 400_000          # so many pairs of keys are sent to where the sets are; more are joined
 GROUP_SETS = 1_000                 # sets that meet a pivot in one task
