@@ -16,6 +16,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+_WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP5_SQL = f"""with t as (select doc_id, {_WORDS.format(t="coalesce(text, '')")} as w from documents),
+  words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from t),
+  windows as (select doc_id, p, count(*) over following as n, string_agg(word, ' ') over following as k from words
+    window following as (partition by doc_id order by p rows between current row and 19 following)),
+  later as (select doc_id, p from (select *, row_number() over (partition by k order by doc_id, p) as r from windows where n = 20) where r > 1),
+  gone as (select distinct doc_id, unnest(range(p, p + 20)) as p from later),
+  kept as (select words.doc_id, count(gone.p) as n_removed, string_agg(word, ' ' order by words.p) filter (where gone.p is null) as k
+    from words left join gone on words.doc_id = gone.doc_id and words.p = gone.p group by words.doc_id)
+  select t.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+  from t left join kept using (doc_id)"""
+
+# A-Z alone are lower-cased, as the words are compared in that form
+OP9_SQL = f"""with recursive t as (select doc_id, {_WORDS.format(t="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+  words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p, len(w) as total from t),
+  grams as (select doc_id, total, count(*) over following as n, p, string_agg(word, ' ') over following as g from words
+    window following as (partition by doc_id order by p rows between current row and 4 following)),
+  sets as materialized (select distinct doc_id, g from grams where n = 5 or (total < 5 and p = 1)),
+  sizes as materialized (select doc_id, count(*) as n from sets group by doc_id),
+  links as materialized (select a.doc_id as a, b.doc_id as b from sets a join sets b on a.g = b.g and a.doc_id < b.doc_id
+    join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+    group by a.doc_id, b.doc_id having 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))),
+  ways as materialized (select a, b from links union all select b, a from links),
+  reach(doc_id, other) as (select distinct a, a from ways union select reach.doc_id, ways.b from reach join ways on reach.other = ways.a)
+  select t.doc_id, coalesce(sizes.n, 0) as n_shingles, coalesce(c.component_id, t.doc_id) as component_id
+  from t left join sizes on sizes.doc_id = t.doc_id left join (select doc_id, min(other) as component_id from reach group by doc_id) c on c.doc_id = t.doc_id"""
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -47,12 +76,12 @@ def _(spark, d):
     return fingerprint.fingerprint_documents(table(spark, d, "documents"))
 
 
-@query("op9_ngram_join")
+@query("op9_ngram_join", OP9_SQL)
 def _(spark, d):
     return ngram_join.join_sets(table(spark, d, "documents"))
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", OP5_SQL)
 def _(spark, d):
     return substring.remove_repeats(table(spark, d, "documents")).drop("text", "spans")
 
