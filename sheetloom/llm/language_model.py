@@ -27,6 +27,7 @@ from . import eftrie
 from .common import fold, stage, whole
 
 MAX_GRAMS = 1_000_000
+LEAST = 2                  # n-grams that occur once in the whole corpus say no more than their parts
 MAX_WORDS = 65_000         # words with a symbol of their own
 WORD_BYTES = 64            # longer words have none
 BLOCK_CHARS = 16_000_000   # characters of a block on average
@@ -160,8 +161,8 @@ def score_documents(df: DataFrame, learn=None, doc_id: str = "doc_id", text: str
             g, n = np.unique((s[:-1] * own.count + s[1:])[s[1:] != own.front], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["_g", "_n"])
 
-    two = stage(training.mapInArrow(pairs, "_g long, _n long").groupBy("_g").agg(F.sum("_n").alias("_n")))
-    second = _kept(two, max(2, least_count(two)))
+    two = stage(training.mapInArrow(pairs, "_g long, _n long").groupBy("_g").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= LEAST))
+    second = _kept(two, max(LEAST, least_count(two)))
     held = spark.sparkContext.broadcast(second[0])
 
     def triples(batches):
@@ -179,8 +180,8 @@ def score_documents(df: DataFrame, learn=None, doc_id: str = "doc_id", text: str
             g, n = np.unique(pair[both] * own.count + s[both + 2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["_g", "_n"])
 
-    three = stage(training.mapInArrow(triples, "_g long, _n long").groupBy("_g").agg(F.sum("_n").alias("_n")))
-    third = _kept(three, max(2, least_count(three)))
+    three = stage(training.mapInArrow(triples, "_g long, _n long").groupBy("_g").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= LEAST))
+    third = _kept(three, max(LEAST, least_count(three)))
     packed = spark.sparkContext.broadcast(eftrie.Trie.build(single, seen, [second, third]).to_bytes())
     rare = max(float(seen[symbols.rare]), 1.0)
 
