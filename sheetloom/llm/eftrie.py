@@ -20,6 +20,11 @@ _SCALE = 65535 / 16.0    # logarithms to base 10 down to -16
 _SAMPLE = 32
 
 
+def left_over(totals: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """The share that contexts leave to shorter ones, from their counts and the discounted counts of their kept successors."""
+    return np.maximum(1.0 - taken / np.maximum(totals, 1), 1e-9)
+
+
 class EliasFano:
     """A monotone sequence: low bytes, high parts in unary, and the place of every 32nd one."""
 
@@ -78,20 +83,34 @@ class Trie:
         away, and what a context has left over, for pruned grams too, goes to the shorter one.
         """
         symbols = len(single)
-        levels = [{"rank": np.arange(symbols), "p": single, "parent": np.zeros(symbols, np.int64), "starts": np.array([0, symbols]),
-                   "weight": np.ones(1)}]
-        before, totals = np.arange(symbols), seen
+        before, totals, links, weights = np.arange(symbols), seen, [], []
         for k, (packed, counts) in enumerate(grams, 2):
-            below = levels[-1]
             parent = np.searchsorted(before, packed // symbols)
             shorter = np.searchsorted(before, packed % symbols ** (k - 1))     # the gram without its first symbol
+            links.append((parent, shorter, counts))
+            taken = np.bincount(parent, np.maximum(counts - DISCOUNT, 0), len(before))
+            weights.append(left_over(totals, taken))
+            before, totals = packed, counts
+        return Trie.of_parts(single, seen, links, weights)
+
+    @staticmethod
+    def of_parts(single: np.ndarray, seen: np.ndarray, links: list[tuple[np.ndarray, np.ndarray, np.ndarray]], weights: list[np.ndarray]) -> "Trie":
+        """From the same, with k-grams as (place of the first k - 1 symbols, place of the last k - 1 symbols, counts).
+
+        k-grams are in order of the first place, then of the last symbol.  ``weights`` are what the contexts of
+        each order leave to shorter ones; so a part of a larger trie scores as the whole does.
+        """
+        symbols = len(single)
+        levels = [{"rank": np.arange(symbols), "p": single, "parent": np.zeros(symbols, np.int64), "starts": np.array([0, symbols]),
+                   "weight": np.ones(1)}]
+        totals = seen
+        for (parent, shorter, counts), weight in zip(links, weights):
+            below = levels[-1]
             rank = shorter - below["starts"][below["parent"][shorter]]
-            share = np.maximum(counts - DISCOUNT, 0) / np.maximum(totals[parent], 1)
-            weight = np.maximum(1.0 - np.bincount(parent, share, len(before)), 1e-9)
-            p = share + weight[parent] * below["p"][shorter]
+            p = np.maximum(counts - DISCOUNT, 0) / np.maximum(totals[parent], 1) + weight[parent] * below["p"][shorter]
             levels.append({"rank": rank, "p": p, "parent": parent, "weight": weight,
-                           "starts": np.searchsorted(parent, np.arange(len(before) + 1))})
-            before, totals = packed, counts
+                           "starts": np.searchsorted(parent, np.arange(len(totals) + 1))})
+            totals = counts
         quantise = lambda x: np.clip(np.round(-np.log10(np.maximum(x, 1e-16)) * _SCALE), 0, 65535).astype("<u2")
         return Trie([{"rank": v["rank"].astype("<u4"), "p": quantise(v["p"]), "weight": quantise(v["weight"]),
                       "starts": EliasFano.build(v["starts"])} for v in levels])

@@ -1,123 +1,232 @@
 """Scores of texts under a smoothed word n-gram model in an Elias-Fano trie.
 
 A token is a word, or the end of a text; all words that training lacks are one more
-token.  The most frequent words are symbols of their own, all other known words share
-one symbol and, inside it, go by their counts.  Texts are sequences of symbols under an
+token.  Every known word is a symbol of its own.  Texts are sequences of symbols under an
 interpolated n-gram model of order 3 with absolute discounting; the unknown word gets the
 share of training tokens that occur once.  So the probabilities of all tokens sum to one,
 up to 16-bit rounding in the trie.
 
-Counts of words cover the whole corpus and stay distributed.  Texts are dealt into blocks
-of bounded size; a block asks for its distinct words, and the answers meet its texts
-again.  The trie keeps at most ``MAX_GRAMS`` n-grams an order, those that reach a least
-count over the whole corpus; both parts of a kept n-gram are kept, so longer ones are
-counted only where their parts are.
+Counts of all orders cover the whole corpus and stay distributed; no number of words or
+n-grams is bounded.  A block of rows hands over its distinct n-grams by hash (64 bits) with
+the counts that are learned from; shards of the hashes add them up over the corpus and give
+every block the counts of its own n-grams, and what each context leaves to shorter ones.
+From these a block builds its shard of the trie: the whole corpus' model of all n-grams
+that its texts hold, which scores them as a trie of everything would.
 """
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import eftrie
-from .common import fold, stage, whole
+from .common import fold, in_slices, partitions, stage, whole
+from .ngram_join import mix, word_hashes
 
-MAX_GRAMS = 1_000_000
 LEAST = 2                  # n-grams that occur once in the whole corpus say no more than their parts
-MAX_WORDS = 65_000         # words with a symbol of their own
-WORD_BYTES = 64            # longer words have none
 BLOCK_CHARS = 16_000_000   # characters of a block on average
-_TASK_WORDS = 500_000      # distinct words a task holds before it hands them on
-
-
-def words_of(text: str) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; of bytes, both mean ASCII alone."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def _count(batches):
-    held: Counter = Counter()
-    others: dict[bytes, int] = {}     # words of texts that are not learned from; a plain dict, which sets subtract fast
-
-    def rows():
-        held.update(others)
-        return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["_w", "_c"])
-
-    for batch in batches:
-        for t, learn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = words_of(t)
-            if learn:
-                held.update(words)
+SHARD_CHARS = 8_000_000    # characters whose n-grams one shard of the hashes adds up, on average
+_ROWS = 500                # rows that are scored at once
+
+# no word holds a space
+FRONT, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" front", b" end"))
+_ASKED = "_shard long, _level int, _block long, _k binary, _c binary, _n binary"
+_SETTLED = "_shard long, _level int, _block long, _k binary, _n binary, _tokens long, _kinds long, _once long"
+_ANSWERS = "_of long, _level int, _k binary, _n binary, _taken binary"
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram ``a`` with one more symbol."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def _press(x: np.ndarray) -> bytes:
+    """Planes of bytes, compressed; ascending hashes as differences."""
+    if x.dtype == np.uint64:
+        x = np.append(x[:1], np.diff(x))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def _open(z: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
+    size = np.dtype(kind).itemsize
+    x = np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
+    return np.cumsum(x, dtype=np.uint64) if x.dtype == np.uint64 else x
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts in a row, each with its front and end, and their number in each text."""
+    parts, sizes = [], []
+    for t in texts:
+        words = word_hashes(t)
+        parts += [[FRONT], words, [END]]
+        sizes.append(len(words) + 2)
+    return np.concatenate(parts).astype(np.uint64, copy=False), np.array(sizes, np.int64)
+
+
+def _grams(s: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each order: places of the last symbols, hashes, and hashes of the contexts."""
+    two = np.flatnonzero(s != FRONT)
+    pair = np.zeros(len(s), np.uint64)
+    pair[two] = _join(s[two - 1], s[two])
+    three = two[s[two - 1] != FRONT]
+    return [(np.arange(len(s)), s, s), (two, pair[two], s[two - 1]), (three, _join(pair[three - 1], s[three]), pair[three - 1])]
+
+
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Ascending with the hash."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+
+
+def _slices(keys: np.ndarray, shards: int):
+    """Shard, begin and end of ascending hashes."""
+    if len(keys):
+        of = _shard_of(keys, shards)
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        yield from zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)])
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted are among ascending keys, and where those are."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    found = keys[at] == wanted
+    return found, at[found]
+
+
+def _ask(shards: int):
+    """Distinct n-grams of each block with the counts learned from them, in slices by shard."""
+    def asked(block: int, texts: list[str], learn: list[bool]):
+        s, sizes = _tokens(texts)
+        learned = np.repeat(np.array(learn, np.int64), sizes)
+        for level, (at, keys, contexts) in enumerate(_grams(s), 1):
+            order = np.argsort(keys)
+            k = keys[order]
+            starts = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
+            k, c = k[starts], contexts[order[starts]].view(np.int64)
+            n = np.add.reduceat(learned[at[order]], starts).astype(np.uint32) if len(starts) else np.empty(0, np.uint32)
+            rows = [(i, level, block, _press(k[a:b]), _press(c[a:b]) if level > 1 else b"", _press(n[a:b])) for i, a, b in _slices(k, shards)]
+            for begin in range(0, len(rows), 1_000):
+                cols = list(zip(*rows[begin:begin + 1_000]))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["_shard", "_level", "_block", "_k", "_c", "_n"])
+
+    def run(batches):
+        current, texts, learn = None, [], []
+        for batch in in_slices(batches):
+            for block, flag, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if block != current and texts:
+                    yield from asked(current, texts, learn)
+                    texts, learn = [], []
+                current = block
+                texts.append(t)
+                learn.append(flag)
+        if texts:
+            yield from asked(current, texts, learn)
+
+    return run
+
+
+def _settle(shards: int):
+    """Counts over the corpus for the blocks that hold an n-gram, and what kept ones take from their contexts."""
+    def run(group: pa.Table) -> pa.Table:
+        shard = group.column("_shard")[0].as_py()
+        out: list[tuple] = []
+        levels = group.column("_level").to_numpy()
+        for level in (1, 2, 3):
+            rows = group.filter(pa.array(levels == level))
+            if not rows.num_rows:
+                continue
+            blocks = rows.column("_block").to_pylist()
+            keys = [_open(z, np.uint64) for z in rows.column("_k").to_pylist()]
+            every = np.concatenate(keys)
+            order = np.argsort(every, kind="stable")
+            k = every[order]
+            starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            k = k[starts]
+            total = np.add.reduceat(np.concatenate([_open(z, np.uint32) for z in rows.column("_n").to_pylist()])[order].astype(np.int64), starts)
+            kept = total >= (LEAST if level > 1 else 1)
+            if level == 1:
+                words = total[(k != FRONT) & (k != END)]
+                out.append((shard, 1, -2, None, None, int(words.sum()), int((words > 0).sum()), int((words == 1).sum())))
             else:
-                others.update(dict.fromkeys(set(words).difference(others), 0))
-            if len(held) + len(others) > _TASK_WORDS:
-                yield rows()
-                held.clear()
-                others.clear()
-    if held or others:
-        yield rows()
-
-
-class _Of(dict):
-    """Symbols of words, ``rare`` for all others."""
-    rare = 0
-
-    def __missing__(self, word: bytes) -> int:
-        return self.rare
-
-
-class Symbols:
-    """Words of their own are 0, 1 ...; then other known words, unknown ones, the end, and what stands in front."""
-
-    def __init__(self, words: list[bytes]):
-        self.of = _Of({w: i for i, w in enumerate(words)})
-        self.of.rare = len(words)
-        self.rare, self.unknown, self.end, self.front = range(len(words), len(words) + 4)
-        self.count = len(words) + 4
-
-    def texts(self, texts: list[str]) -> np.ndarray:
-        """Symbols of training texts in a row, each with its front and end."""
-        parts: list[int] = []
-        for t in texts:
-            parts.append(self.front)
-            parts.extend(map(self.of.__getitem__, words_of(t)))
-            parts.append(self.end)
-        return np.fromiter(parts, np.int64, len(parts))
-
-
-def _place(grams: np.ndarray) -> np.ndarray:
-    return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
-
-
-def _sieve(grams: np.ndarray) -> np.ndarray:
-    """A table of 2 ** 24 flags by a hash of each n-gram, to pass over most that are not kept."""
-    table = np.zeros(1 << 24, bool)
-    table[_place(grams)] = True
-    return table
-
-
-def least_count(counted: DataFrame, most: int = MAX_GRAMS) -> int:
-    """A count (a power of the fourth root of two) that at most ``most`` rows of ``(_g, _n)`` reach, at least 1."""
-    step = F.floor(F.log2(F.col("_n").cast("double")) * 4).cast("int")
-    sizes = {r["s"]: r["count"] for r in counted.groupBy(step.alias("s")).count().collect()}   # a few hundred rows
-    total = 0
-    for s in sorted(sizes, reverse=True):
-        total += sizes[s]
-        if total > most:
-            return math.ceil(2 ** ((s + 1) / 4))
-    return 1
-
-
-def _kept(counted: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of at least this count, and their counts; bounded by how the count was chosen."""
-    found = counted.filter(F.col("_n") >= least).toArrow()
-    g, n = found.column("_g").to_numpy(), found.column("_n").to_numpy()
-    at = np.argsort(g)
-    return g[at], n[at]
+                contexts = np.concatenate([_open(z, np.int64) for z in rows.column("_c").to_pylist()])[order[starts[kept]]].view(np.uint64)
+                c, to = np.unique(contexts, return_inverse=True)
+                taken = np.bincount(to, total[kept] - eftrie.DISCOUNT, len(c))
+                out += [(i, level - 1, -1, _press(c[a:b]), taken[a:b].tobytes(), None, None, None) for i, a, b in _slices(c, shards)]
+            k, total = k[kept], total[kept]
+            for block, own in zip(blocks, keys):
+                found, at = _places(k, own)
+                if len(at):
+                    out.append((shard, level, block, _press(own[found]), _press(total[at]), None, None, None))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        names = ["_shard", "_level", "_block", "_k", "_n", "_tokens", "_kinds", "_once"]
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, kinds))})
+
+    return run
+
+
+def _weigh(own: pa.Table, given: pa.Table) -> pa.Table:
+    """Counts of a block's contexts with what their kept successors take."""
+    blocks, out = own.column("_block").to_pylist(), []
+    if blocks and given.num_rows:
+        every = np.concatenate([_open(z, np.uint64) for z in given.column("_k").to_pylist()])
+        c, to = np.unique(every, return_inverse=True)
+        taken = np.bincount(to, np.concatenate([np.frombuffer(x, float) for x in given.column("_n").to_pylist()]), len(c))
+    else:
+        c, taken = np.empty(0, np.uint64), np.empty(0)
+    for z in own.column("_k").to_pylist():
+        k = _open(z, np.uint64)
+        found, at = _places(c, k)
+        sums = np.zeros(len(k))
+        sums[found] = taken[at]
+        out.append(_press(sums))
+    return pa.table({"_of": pa.array(blocks, pa.int64()), "_level": own.column("_level"), "_k": own.column("_k"), "_n": own.column("_n"),
+                     "_taken": pa.array(out, pa.binary())})
+
+
+def _answers(given: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, ascending, their counts, and what is taken from them as contexts."""
+    rows = given.filter(pa.array(given.column("_level").to_numpy() == level))
+    if not rows.num_rows:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0)
+    k, n = (np.concatenate([_open(z, t) for z in rows.column(c).to_pylist()]) for c, t in (("_k", np.uint64), ("_n", np.int64)))
+    taken = np.concatenate([_open(z, float) for z in rows.column("_taken").to_pylist()]) if level < 3 else np.zeros(len(k))
+    order = np.argsort(k)
+    return k[order], n[order], taken[order]
+
+
+def _trie(s: np.ndarray, words: np.ndarray, symbol: np.ndarray, single: np.ndarray, seen: np.ndarray, taken: np.ndarray, given: pa.Table) -> eftrie.Trie:
+    """The shard of the trie with all n-grams of ``s`` that the corpus' model has."""
+    (_, (two, pair, _), (three, triple, _)) = _grams(s)
+
+    def held(keys, level):
+        """Places in ``keys`` of the first of each n-gram that is kept, its count, and what is taken from it."""
+        k, n, sums = _answers(given, level)
+        own, first = np.unique(keys, return_index=True)
+        found, at = _places(k, own)
+        return first[found], n[at], sums[at]
+
+    m = len(words)
+    at, n2, sums2 = held(pair, 2)
+    packed = symbol[two[at] - 1] * m + symbol[two[at]]
+    order = np.argsort(packed)
+    packed, n2, sums2 = packed[order], n2[order], sums2[order]
+    at, n3, _ = held(triple, 3)
+    last = three[at]
+    left, context = _places(packed, symbol[last - 2] * m + symbol[last - 1])
+    right, shorter = _places(packed, symbol[last - 1] * m + symbol[last])
+    both = left & right                  # always so, as both parts occur as often at least
+    context, shorter, n3, last = context[both[left]], shorter[both[right]], n3[both], last[both]
+    order = np.lexsort((symbol[last], context))
+    return eftrie.Trie.of_parts(single, seen, [(packed // m, packed % m, n2), (context[order], shorter[order], n3[order])],
+                                [eftrie.left_over(seen, taken), eftrie.left_over(n2, sums2)])
 
 
 def score_documents(df: DataFrame, learn=None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,107 +236,56 @@ def score_documents(df: DataFrame, learn=None, doc_id: str = "doc_id", text: str
     modulo 5 is not 1.  ``score`` is log10 of the text's probability, ``base_score`` that of single
     tokens with half a count added.  Null and empty texts are the end alone; without training
     rows both scores fall back to what no counts give.  Repeated rows stay and count as often;
-    other columns are not read.  The input is read five times and should come from files.
+    other columns are not read.  The input is read three times and should come from files.
     """
-    spark = df.sparkSession
     id_type = df.schema[doc_id].dataType.simpleString()
     learn = fold(doc_id, 5) != 1 if learn is None else learn
     docs = df.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"),
                      F.coalesce(learn, F.lit(False)).alias("_learn"), whole(text).alias("_text"))
-    counts = stage(docs.select("_text", "_learn").mapInArrow(_count, "_w binary, _c long").groupBy("_w").agg(F.sum("_c").alias("_c")))
-    size = docs.agg(F.sum(F.col("_learn").cast("long")).alias("ends"), F.sum(F.length("_text")).alias("chars")).head()
-    ends, blocks = int(size["ends"] or 0), max(1, math.ceil((size["chars"] or 0) / BLOCK_CHARS))
-    sums = counts.agg(F.sum("_c").alias("n"), F.sum((F.col("_c") > 0).cast("long")).alias("v"), F.sum((F.col("_c") == 1).cast("long")).alias("n1")).head()
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("_learn").cast("long")).alias("ends"), F.sum(F.length("_text")).alias("chars")).head()
+    ends, chars = int(size["ends"] or 0), int(size["chars"] or 0)
+    length = max(1, math.ceil(size["rows"] / max(1, math.ceil(chars / BLOCK_CHARS))))     # rows of a block that follow one another
+    shards = max(partitions(df), math.ceil(chars / SHARD_CHARS))
+    dealt = docs.select(F.floor(F.col("_row") / F.lit(length)).alias("_block"), "_learn", "_text", "_id")
+
+    asked = dealt.select("_block", "_learn", "_text").mapInArrow(_ask(shards), _ASKED)
+    settled = stage(asked.groupBy("_shard").applyInArrow(_settle(shards), _SETTLED))
+    sums = settled.filter("_block = -2").agg(F.sum("_tokens").alias("n"), F.sum("_kinds").alias("v"), F.sum("_once").alias("n1")).head()
     total, kinds = int(sums["n"] or 0) + ends, int(sums["v"] or 0)
     vocabulary = kinds + (1 if ends else 0)
-
-    # symbols: the most frequent words, by one least count
-    short = counts.filter((F.col("_c") > 0) & (F.length("_w") <= WORD_BYTES)).select("_w", F.col("_c").alias("_n"))
-    words = sorted(((r["_n"], bytes(r["_w"])) for r in short.filter(F.col("_n") >= least_count(short, MAX_WORDS)).collect()), reverse=True)
-    symbols = Symbols([w for _, w in words])
-    seen = np.array([n for n, _ in words] + [total - ends - sum(n for n, _ in words), 0, ends, ends], float)
     new = min(0.5, max(sums["n1"] or 0, 0.5) / max(total, 1)) if total else 0.5
-    single = np.zeros(symbols.count)
-    if total:
-        single = seen / total * (1 - new)
-    single[symbols.front], single[symbols.unknown] = 0.0, new
-    shared = spark.sparkContext.broadcast(symbols)
-    training = docs.filter("_learn").select("_text")
-
-    def pairs(batches):
-        own = shared.value
-        for batch in batches:
-            s = own.texts(batch.column(0).to_pylist())
-            g, n = np.unique((s[:-1] * own.count + s[1:])[s[1:] != own.front], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["_g", "_n"])
-
-    two = stage(training.mapInArrow(pairs, "_g long, _n long").groupBy("_g").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= LEAST))
-    second = _kept(two, max(LEAST, least_count(two)))
-    held = spark.sparkContext.broadcast(second[0])
-
-    def triples(batches):
-        own, kept = shared.value, held.value
-        sieve = _sieve(kept)
-        for batch in batches:
-            s = own.texts(batch.column(0).to_pylist())
-            pair = s[:-1] * own.count + s[1:]
-            fine = np.zeros(len(pair), bool)
-            likely = np.flatnonzero(sieve[_place(pair)] & (s[1:] != own.front))
-            if len(likely):
-                at = np.minimum(np.searchsorted(kept, pair[likely]), len(kept) - 1)
-                fine[likely] = kept[at] == pair[likely]
-            both = np.flatnonzero(fine[:-1] & fine[1:])
-            g, n = np.unique(pair[both] * own.count + s[both + 2], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["_g", "_n"])
-
-    three = stage(training.mapInArrow(triples, "_g long, _n long").groupBy("_g").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= LEAST))
-    third = _kept(three, max(LEAST, least_count(three)))
-    packed = spark.sparkContext.broadcast(eftrie.Trie.build(single, seen, [second, third]).to_bytes())
-    rare = max(float(seen[symbols.rare]), 1.0)
-
-    dealt = docs.select(F.pmod(F.xxhash64("_row"), F.lit(blocks)).alias("_block"), "_id", "_learn", "_text")
-
-    def ask(group: pa.Table) -> pa.Table:
-        found: set[bytes] = set()
-        for t in group.column("_text").to_pylist():
-            found.update(words_of(t))
-        block = group.column("_block")[0].as_py()
-        return pa.table({"_block": pa.array([block] * len(found), pa.int64()), "_w": pa.array(list(found), pa.binary())})
-
-    asked = dealt.groupBy("_block").applyInArrow(ask, "_block long, _w binary")
-    answers = asked.join(counts, "_w").select("_block", "_w", "_c").toDF("_of", "_w", "_c")
+
+    counted = settled.filter("_block >= 0").select("_shard", "_level", "_block", "_k", "_n")
+    taken = settled.filter("_block = -1").select("_shard", "_level", "_k", "_n")
+    contexts = counted.filter("_level < 3").groupBy("_shard", "_level").cogroup(taken.groupBy("_shard", "_level")).applyInArrow(_weigh, _ANSWERS)
+    answers = contexts.union(counted.filter("_level = 3").select("_block", "_level", "_k", "_n", F.lit(None).cast("binary")))
     base_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
-    end_base, known_end = float(base_of(ends)), int(ends > 0)
 
     def score(texts: pa.Table, given: pa.Table) -> pa.Table:
-        own, trie = shared.value, eftrie.Trie.from_buffer(packed.value)
-        names, c = given.column("_w").to_pylist(), given.column("_c").to_numpy()
-        place = {w: i for i, w in enumerate(names)}
-        base, known = base_of(c), c > 0
-        symbol = np.fromiter(map(own.of.__getitem__, names), np.int64, len(names))
-        symbol[~known] = own.unknown
-        inside = np.where(symbol == own.rare, np.log10(np.maximum(c, 1) / rare), 0.0)
-        out: dict[str, list] = {k: [] for k in ("n", "known", "base", "score")}
-        rows = texts.column("_text").to_pylist()
-        for start in range(0, len(rows), 500):
-            parts, extra = [], []
-            for t in rows[start:start + 500]:
-                words = words_of(t)
-                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                out["n"].append(len(words) + 1)
-                out["known"].append(int(known[at].sum()) + known_end)
-                out["base"].append(float(base[at].sum()) + end_base)
-                extra.append(float(inside[at].sum()))
-                parts += [[own.front], symbol[at], [own.end]]
-            s = np.concatenate(parts).astype(np.int64)
-            first = s == own.front
-            scores = trie.score(s, first)
-            out["score"] += (np.add.reduceat(scores, np.flatnonzero(first)) + np.array(extra)).tolist()
-        n = texts.num_rows
+        s, sizes = _tokens(texts.column("_text").to_pylist())
+        words, symbol = np.unique(s, return_inverse=True)
+        keys, n, sums = _answers(given, 1)
+        found, at = _places(keys, words)
+        c, gone = np.zeros(len(words), np.int64), np.zeros(len(words))
+        c[found], gone[found] = n[at], sums[at]
+        front, end = words == FRONT, words == END
+        single = np.where(c > 0, c / max(total, 1) * (1 - new), new)      # unknown words are one token
+        single[front] = 0.0
+        if not total:
+            single[end] = 0.0
+        trie = _trie(s, words, symbol, single, c.astype(float), gone, given)
+        base, known = np.where(front, 0.0, base_of(c)), (c > 0) & ~front
+        starts = np.cumsum(sizes) - sizes
+        scores = []
+        for i in range(0, len(sizes), _ROWS):
+            a, b = starts[i], starts[min(i + _ROWS, len(sizes)) - 1] + sizes[min(i + _ROWS, len(sizes)) - 1]
+            part = symbol[a:b]
+            scores.append(np.add.reduceat(trie.score(part, s[a:b] == FRONT), starts[i:i + _ROWS] - a))
         return pa.Table.from_arrays([
-            texts.column("_id").combine_chunks(), pa.array([not x for x in texts.column("_learn").to_pylist()]), pa.array(out["n"], pa.int64()),
-            pa.array(out["known"], pa.int64()), pa.array([total] * n, pa.int64()), pa.array(out["base"], pa.float64()),
-            pa.array(out["score"], pa.float64())], names=[doc_id, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            texts.column("_id").combine_chunks(), pa.array([not x for x in texts.column("_learn").to_pylist()]), pa.array(sizes - 1),
+            pa.array(np.add.reduceat(known[symbol].astype(np.int64), starts)), pa.array(np.full(len(sizes), total)),
+            pa.array(np.add.reduceat(base[symbol], starts)), pa.array(np.concatenate(scores))],
+            names=[doc_id, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return dealt.groupBy("_block").cogroup(answers.groupBy("_of")).applyInArrow(
         score, f"`{doc_id}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

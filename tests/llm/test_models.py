@@ -179,3 +179,39 @@ def test_elias_fano_gives_back_its_values():
     rng = np.random.default_rng(6)
     for values in (np.sort(rng.integers(0, 10**6, 3000)), np.zeros(100, int), np.array([0, 5, 5, 10**7]), np.arange(1000) * 300):
         assert (eftrie.EliasFano.build(values).get(np.arange(len(values))) == values).all()
+
+
+def test_op8_takes_every_word_and_ngram(spark):
+    # brute-force model over all words and n-grams; no two words may share a symbol
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(8)
+    ends = [["x" * 70, "then"], ["y" * 70, "else"], []]
+    texts = [" ".join([*(f"w{int(x)}" for x in rng.zipf(1.3, 30) % 200), *ends[i % 3]]) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    old = language_model.BLOCK_CHARS, language_model.SHARD_CHARS
+    language_model.BLOCK_CHARS, language_model.SHARD_CHARS = 3_000, 1_000
+    try:
+        got = {r.doc_id: r.score for r in language_model.score_documents(docs, learn=F.col("doc_id") % 4 != 1).collect()}
+    finally:
+        language_model.BLOCK_CHARS, language_model.SHARD_CHARS = old
+    tokens = {i: ["<s>", *t.split(), "</s>"] for i, t in enumerate(texts)}
+    taught = [t for i, t in tokens.items() if i % 4 != 1]
+    one = Counter(w for t in taught for w in t)
+    two = {g: n for g, n in Counter((*t[i - 1:i + 1],) for t in taught for i in range(1, len(t))).items() if n >= 2}
+    three = {g: n for g, n in Counter((*t[i - 2:i + 1],) for t in taught for i in range(2, len(t))).items() if n >= 2}
+    total = sum(one.values()) - one["<s>"]
+    new = min(0.5, max(sum(n == 1 for n in one.values()), 0.5) / total)
+
+    def p(t, i):
+        out = one[t[i]] / total * (1 - new) if one[t[i]] else new
+        for k, grams, context in ((1, two, one), (2, three, two)):
+            before = tuple(t[i - k:i])
+            n = context.get(before[0] if k == 1 else before) if i >= k else None
+            if not n:
+                break
+            out = max(grams.get((*before, t[i]), 0) - 0.75, 0) / n + (1 - sum(c - 0.75 for g, c in grams.items() if g[:-1] == before) / n) * out
+        return out
+
+    for i, t in tokens.items():
+        want = sum(math.log10(p(t, j)) for j in range(1, len(t)))
+        assert abs(got[i] - want) < 0.0005 * len(t), (i, got[i], want)
