@@ -22,7 +22,7 @@ DIMENSIONS = 2_048
 THRESHOLD = 0.5
 LABELLERS = ("symbols", "capitals", "bars", "shouting", "stutter", "short_words", "marks", "variety", "word_length", "letters")
 SHARP = 5                # the first so many labellers say bad only on plain damage; EM starts from that
-FALSE_ALARM = 1e-5       # and holds their bad votes on good documents to this share
+FALSE_ALARM = 1e-5       # and by default holds their bad votes on good documents to this share
 GOOD, BAD, NONE = 1, 0, 2
 VOTES = 3 * len(LABELLERS)
 
@@ -71,11 +71,12 @@ def votes(text: str) -> list[int]:
     ]
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, false_alarm: float | None = FALSE_ALARM) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of good per pattern, vote probabilities [class, labeller, vote], and the share of good.
 
     It starts from the sharp labellers: one bad vote of theirs makes bad likely, other bad
-    votes leave it open.
+    votes leave it open.  ``false_alarm`` bounds the share of good documents on which a sharp
+    labeller says bad; with None all rates are estimated.
     """
     sharp, bad = (patterns[:, :SHARP] == BAD).any(axis=1), (patterns == BAD).any(axis=1)
     post = np.where(sharp, 0.02, np.where(bad, 0.6, 0.98))
@@ -84,7 +85,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         weights = np.stack([counts * (1 - post), counts * post])
         table = np.stack([[np.bincount(patterns[:, j], w, 3)[:NONE] + 0.5 for j in range(patterns.shape[1])] for w in weights])
         table /= table.sum(axis=2, keepdims=True)
-        table[GOOD, :SHARP, BAD] = np.minimum(table[GOOD, :SHARP, BAD], FALSE_ALARM)
+        if false_alarm is not None:
+            table[GOOD, :SHARP, BAD] = np.minimum(table[GOOD, :SHARP, BAD], false_alarm)
         share = (weights[1].sum() + 1) / (weights.sum() + 2)
         given = np.minimum(patterns, GOOD)
         logs = np.stack([np.where(patterns == NONE, 0.0, np.log(table[c][np.arange(patterns.shape[1]), given])).sum(axis=1) for c in (0, 1)])
@@ -128,7 +130,7 @@ def _vote(batches):
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["votes"])
 
 
-def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS) -> Model:
+def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, false_alarm: float | None = FALSE_ALARM) -> Model:
     """Votes of all documents make the patterns; a bounded sample makes the scorer.
 
     Patterns are counted before they are shuffled, and there are at most 3 ** labellers
@@ -140,7 +142,7 @@ def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS) -> Model:
         return Model(np.zeros(DIMENSIONS + VOTES), 0.0)
     found.sort(key=lambda r: r["votes"])
     patterns = np.array([[int(c) for c in r["votes"]] for r in found])
-    post, _, _ = expectation_maximisation(patterns, np.array([r["count"] for r in found], float))
+    post, _, _ = expectation_maximisation(patterns, np.array([r["count"] for r in found], float), false_alarm=false_alarm)
     posterior = {r["votes"]: float(p) for r, p in zip(found, post)}
     share = max(1, sum(r["count"] for r in found) // rows)
     hashed = read.select(F.xxhash64("_text").alias("_h"), "_text").filter(F.pmod("_h", F.lit(share)) == 0)

@@ -57,6 +57,19 @@ def test_op3_expectation_maximisation_recovers_accuracies():
     assert abs(share - 0.8) < 0.03 and np.abs(table[quality.GOOD, 5:, quality.GOOD] - 0.9).max() < 0.03
 
 
+def test_op3_estimates_a_sharp_labeller_that_a_clean_source_trips():
+    rng = np.random.default_rng(3)
+    source, n = rng.random(20_000), 20_000
+    clean, table = source < 0.85, source < 0.3          # the first 0.3 are clean and trip the third labeller
+    cast = np.where(clean[:, None], rng.random((n, 10)) < 0.99, rng.random((n, 10)) < 0.4).astype(int)
+    cast[table, 2] = quality.BAD
+    patterns, counts = np.unique(cast, axis=0, return_counts=True)
+    post, rates, share = quality.expectation_maximisation(patterns, counts.astype(float), false_alarm=None)
+    only = patterns.sum(axis=1) == 9
+    assert abs(share - 0.85) < 0.03 and abs(rates[quality.GOOD, 2, quality.BAD] - 0.36) < 0.05
+    assert post[only & (patterns[:, 2] == quality.BAD)].min() > 0.9
+
+
 def test_op3_edges(spark):
     docs = edge_table(spark)
     assert quality.score(docs, quality.fit(docs)).count() == len(edge_rows())
