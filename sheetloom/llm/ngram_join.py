@@ -288,8 +288,8 @@ def join_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     links = None
     for turn in range(PIVOT_ROUNDS + 1):
         pairs = stage(_pairs(blocks, roots, None if turn == PIVOT_ROUNDS else turn))
-        if not pairs.take(1):
-            break
+        if not pairs.take(1):       # pairs without a pivot are still to come
+            continue
         new = stage(_compare(pairs, store))
         links = new if links is None else links.union(new)
         if not new.take(1):

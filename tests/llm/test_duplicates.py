@@ -43,6 +43,24 @@ def test_op9_edges_and_chains(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in twice) == [(0, 0, 0), (0, 1, 4), (4, 1, 4), (4, 1, 4)]
 
 
+def test_op9_compares_without_pivots_when_no_pivot_can_link(spark):
+    # three short texts hold a shingle each of two longer ones, and the pivots of both rounds are short
+    from pyspark.sql import functions as F
+
+    def texts(seed):
+        w = [f"w{seed}x{i}" for i in range(8)]
+        return [" ".join(w[i:i + 5]) for i in range(3)] + [" ".join(w[:7]), " ".join(w)]
+
+    keys = [(seed, i, ngram_join._key(ngram_join.shingle_set(t))) for seed in range(200) for i, t in enumerate(texts(seed))]
+    ranks = {}
+    for r in spark.createDataFrame(keys, "seed long, i int, k long").select("seed", "i", *(F.xxhash64("k", F.lit(t)).alias(f"r{t}") for t in range(2))).collect():
+        ranks[r.seed, r.i] = (r.r0, r.r1)
+    seed = next(s for s in range(200) if all(max(ranks[s, i][t] for i in range(3)) < min(ranks[s, i][t] for i in (3, 4)) for t in range(2)))
+    rows = list(enumerate(texts(seed)))
+    got = {r.doc_id: r.component_id for r in ngram_join.join_sets(edge_table(spark, rows)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3} == {k: c for k, (_, c) in components(rows).items()}
+
+
 def test_walk_finds_exactly_the_links():
     rng = np.random.default_rng(8)
     for _ in range(30):
