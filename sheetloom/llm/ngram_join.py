@@ -226,6 +226,23 @@ def join_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     a row with a null id that equals no other.  Repeated rows and equal texts share a class.
     Other columns are not read.  The input is read three times and should come from files.
     """
+    out = joined_rows(df, doc_id, text)
+    return out.select(F.col("_id").alias(doc_id), "n_shingles", F.coalesce("_first._id", "_id").alias("component_id"))
+
+
+def surplus_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Places ``_row`` (as ``monotonically_increasing_id`` numbers the input) of rows that another row stands for.
+
+    Of rows that link, directly or not, the one with the smallest id stays, of equal ids the
+    one that comes first; null ids come after all others.  Rows that repeat its id and its
+    n-grams are the same document, and stay with it.
+    """
+    same = F.coalesce((F.col("_id") == F.col("_first._id")) & (F.col("_key") == F.col("_first._key")), F.lit(False))
+    return joined_rows(df, doc_id, text).filter((F.col("_row") != F.col("_first._row")) & ~same).select("_row")
+
+
+def joined_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(_row, _id, _key, n_shingles, _first)``: of each row its class, and the first row that it is linked with, null without n-grams."""
     id_type = df.schema[doc_id].dataType.simpleString()
     docs = df.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"), whole(text).alias("_text"))
     described = stage(docs.mapInArrow(
@@ -296,18 +313,14 @@ def join_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             continue
         roots = stage(components(links))
 
-    if roots is None:
-        return classes.select(F.col("_id").alias(doc_id), F.col("_n").cast("long").alias("n_shingles"), "_key", "_row").join(
-            classes.filter("_n > 0").groupBy("_key").agg(F.min("_id").alias("_least")), "_key", "left").select(
-            doc_id, "n_shingles", F.coalesce("_least", doc_id).alias("component_id"))
-    least = (classes.filter("_n > 0").groupBy("_key").agg(F.min("_id").alias("_least"))
-             .join(roots.select(F.col("node").alias("_key"), "root"), "_key", "left")
-             .select("_key", F.coalesce("root", "_key").alias("root"), "_least"))
-    smallest = least.groupBy("root").agg(F.min("_least").alias("_component"))
-    named = stage(least.join(smallest, "root").select("_key", "_component"))
-    return classes.join(named, "_key", "left").select(
-        F.col("_id").alias(doc_id), F.col("_n").cast("long").alias("n_shingles"),
-        F.coalesce("_component", "_id").alias("component_id"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row", "_key")).alias("_first")
+    named = classes.filter("_n > 0").groupBy("_key").agg(first)
+    if roots is not None:
+        least = (named.join(roots.select(F.col("node").alias("_key"), "root"), "_key", "left")
+                 .select("_key", F.coalesce("root", "_key").alias("root"), "_first"))
+        smallest = least.groupBy("root").agg(F.min("_first").alias("_first"))
+        named = stage(least.select("_key", "root").join(smallest, "root").select("_key", "_first"))
+    return classes.join(named, "_key", "left").select("_row", "_id", "_key", F.col("_n").cast("long").alias("n_shingles"), "_first")
 
 
 def _pairs(blocks: DataFrame, roots: DataFrame | None, turn: int | None) -> DataFrame:
