@@ -134,7 +134,8 @@ def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, false_alar
     """Votes of all documents make the patterns; a bounded sample makes the scorer.
 
     Patterns are counted before they are shuffled, and there are at most 3 ** labellers
-    of them.  Without documents every score is one half.
+    of them.  The sample's share is taken of the distinct texts, by an estimate of their number.
+    Without documents every score is one half.
     """
     read = docs.select(whole(text).alias("_text"))
     found = read.mapInArrow(_vote, "votes string").groupBy("votes").count().collect()
@@ -144,7 +145,8 @@ def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, false_alar
     patterns = np.array([[int(c) for c in r["votes"]] for r in found])
     post, _, _ = expectation_maximisation(patterns, np.array([r["count"] for r in found], float), false_alarm=false_alarm)
     posterior = {r["votes"]: float(p) for r, p in zip(found, post)}
-    share = max(1, sum(r["count"] for r in found) // rows)
+    distinct = read.agg(F.approx_count_distinct(F.xxhash64("_text")).alias("n")).head()["n"]
+    share = max(1, distinct // rows)
     hashed = read.select(F.xxhash64("_text").alias("_h"), "_text").filter(F.pmod("_h", F.lit(share)) == 0)
 
     def describe(batches):
@@ -158,6 +160,10 @@ def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, false_alar
     # equal texts have equal hashes: of many copies one is enough, so the sample keeps its bound
     sample = hashed.dropDuplicates(["_h"]).mapInArrow(describe, "h long, x binary, y double").collect()
     sample.sort(key=lambda r: r["h"])
+    if not sample:           # no text's hash met the share: what the votes say of all documents
+        n = sum(r["count"] for r in found)
+        good = sum(r["count"] * posterior[r["votes"]] for r in found)
+        return Model(np.zeros(DIMENSIONS + VOTES), float(np.log((good + 1) / (n - good + 1))))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in sample])
     return Model(*_logistic(x, np.array([r["y"] for r in sample])))
 

@@ -78,6 +78,13 @@ def test_op3_edges(spark):
     assert quality.votes("") == [quality.NONE] * len(quality.LABELLERS)
 
 
+def test_op3_samples_of_the_distinct_texts(spark):
+    docs = edge_table(spark, [(i, "one and the same text of many copies") for i in range(50)])
+    model = quality.fit(docs, rows=1)
+    rows = quality.score(docs, model).collect()
+    assert len(rows) == 50 and all(r.keep for r in rows) and np.abs(model.weights).max() > 0
+
+
 def exact(rows, every, k):
     """rows: (id, vector) that take part."""
     out = {}
