@@ -129,7 +129,8 @@ class Tree:
                 break
             rows = self.leaves[leaf]
             d = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(axis=1))
-            for j in np.argsort(d, kind="stable")[:k + 1]:
+            # k + 1 points hold the k smallest (distance, id) and the query itself, if equal distances go by the smallest id
+            for j in np.lexsort(([ids[r][0] for r in rows], d))[:k + 1]:
                 if d[j] > limit:
                     break
                 for i in ids[rows[j]]:

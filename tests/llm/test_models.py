@@ -135,6 +135,15 @@ def test_op4_edges(spark):
     assert neighbours.nearest(df.filter("vec_id = 0"), every=50).count() == 0
 
 
+def test_op4_ties_go_to_smaller_ids_in_a_leaf():
+    # 20 points at the same distance; the smallest ids stand last in their leaf
+    v = np.eye(20)
+    ids = [[100 - i] for i in range(20)]
+    tree = neighbours.Tree(v, v @ neighbours.projection(20))
+    found = tree.search(np.zeros(20), np.zeros(20) @ neighbours.projection(20), -1, ids, 5, 1e9)
+    assert [i for _, i in found] == [81, 82, 83, 84, 85]
+
+
 def test_op8_base_and_gain(spark, sf_dir):
     rows = {r.doc_id: r for r in QUERIES["op8_eftrie_lm"](spark, sf_dir).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
