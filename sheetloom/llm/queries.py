@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..operators.staging import shared_dir
-from . import bpe, fingerprint, language_model, neighbours, ngram_join, packing, quality, shards, substring, toxicity
+from . import bpe, divergence, fingerprint, language_model, neighbours, ngram_join, packing, quality, shards, substring, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,32 @@ def _(spark, d):
 @query("op8_eftrie_lm")
 def _(spark, d):
     return language_model.score_documents(table(spark, d, "documents"))
+
+
+_LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13_SQL = f"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+  t as (select r, lang, source, {_LOWER.format(t="unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'))")} as term from d),
+  kept as (select lang, term from t group by lang, term having count(distinct r) >= 10),
+  v as (select lang, count(*) as v from kept group by lang),
+  g as (select distinct lang, source from d),
+  gc as (select lang, source, term, count(*)::hugeint as c from t join kept using (lang, term) group by all),
+  gn as (select g.lang, g.source, coalesce(sum(gc.c), 0)::hugeint as n from g left join gc using (lang, source) group by all),
+  gp as (select k.lang, gn.source, k.term, coalesce(gc.c, 0) as c,
+      1 + ((coalesce(gc.c, 0) + 2) * 1000000000) // (gn.n + 2 * v.v) as p
+    from kept k join v using (lang) join gn using (lang) left join gc on gc.lang = k.lang and gc.source = gn.source and gc.term = k.term),
+  lc as (select lang, term, sum(c) as c from gc group by all),
+  lp as (select lang, term, 1 + ((c + 2) * 1000000000) // (sum(c) over (partition by lang) + 2 * v.v) as q from lc join v using (lang)),
+  ps as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+    from gp a join gp b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+  pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(ps.value, 0) as value
+    from g a join g b on a.lang = b.lang and a.source <> b.source left join ps on ps.lang = a.lang and ps.source = a.source and ps.item = b.source),
+  terms as (select gp.lang, gp.source, 'term' as part, gp.term as item, (p - q) * (p - q) // (p + q) as value
+    from gp join lp using (lang, term) where gp.c > 0 and p > q),
+  ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+  select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 10"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def _(spark, d):
+    return divergence.audit(table(spark, d, "documents"))
