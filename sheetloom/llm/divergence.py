@@ -24,14 +24,15 @@ LEAST_DOCS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
 
-#: Characters at which chunks are cut: ASCII white space and controls, never part of a term.
-CHUNK_CUT = r"[\x00-\x20]+"
+#: Chunks are cut at the space and these characters: ASCII white space and controls, never part of a term.
+CONTROLS = "".join(map(chr, range(32)))
 #: Tasks over which the pairs of one lang's sources are dealt.
 PAIR_SPLIT = 16
 
 
 def _chunks(text: Column) -> Column:
-    return F.filter(F.split(text, CHUNK_CUT), lambda c: c != "")
+    """Chunks of the text: controls become spaces, so that splitting takes one character."""
+    return F.filter(F.split(F.translate(text, CONTROLS, " " * len(CONTROLS)), " "), lambda c: c != "")
 
 
 def _salted(per_doc: DataFrame, vocab: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
@@ -77,17 +78,18 @@ def term_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
                     F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
                     F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
                     F.monotonically_increasing_id().alias("_row"))
-    per_doc = d.select("lang", "_row", F.explode(F.array_distinct(_chunks(F.col("_text")))).alias("chunk"))
+    # one pass over the texts: chunks counted per document, pre-aggregated in the task that reads it
+    per_doc = stage(d.select("lang", "source", "_row", F.explode(_chunks(F.col("_text"))).alias("chunk"))
+                    .groupBy("lang", "source", "_row", "chunk").agg(F.count(F.lit(1)).alias("c")))
     vocab = stage(per_doc.groupBy("chunk").agg(F.count(F.lit(1)).alias("n_docs"))
                   .select("chunk", "n_docs", F.regexp_extract_all("chunk", F.lit(TERM), 0).alias("terms"))
                   .where(F.size("terms") > 0))
     terms = vocab.select("chunk", "terms")
-    occ = (d.select("lang", "source", F.explode(_chunks(F.col("_text"))).alias("chunk"))
-           .groupBy("lang", "source", "chunk").agg(F.count(F.lit(1)).alias("c"))
+    occ = (per_doc.groupBy("lang", "source", "chunk").agg(F.sum("c").alias("c"))
            .join(terms, "chunk")
            .select("lang", "source", F.explode("terms").alias("raw"), "c")
            .groupBy("lang", "source", F.translate("raw", UPPER, LOWER).alias("term")).agg(F.sum("c").alias("count")))
-    big, small = _salted(per_doc, vocab, parts)
+    big, small = _salted(per_doc.select("lang", "_row", "chunk"), vocab, parts)
     held = (big.join(small.select("chunk", "_salt", "terms"), ["chunk", "_salt"])
             .select("lang", "_row", F.explode(F.array_distinct(F.transform("terms", lambda t: F.translate(t, UPPER, LOWER)))).alias("term"))
             .groupBy("lang", "term").agg(F.count_distinct("_row").alias("n_docs")))
@@ -109,9 +111,9 @@ def audit(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, top
     occ, held = term_counts(docs, text)
     groups = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
                          F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).distinct()
-    kept = held.where(F.col("n_docs") >= least_docs).select("lang", "term")
+    kept = stage(held.where(F.col("n_docs") >= least_docs).select("lang", "term"))
     width = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    counts = occ.join(kept, ["lang", "term"])
+    counts = stage(occ.join(kept, ["lang", "term"]))
     sizes = (groups.join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left")
              .join(width, "lang", "left")
              .select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v")))
