@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..operators.staging import shared_dir
-from . import bpe, divergence, fingerprint, language_model, neighbours, ngram_join, packing, quality, shards, substring, toxicity
+from . import bpe, collocations, divergence, fingerprint, language_model, neighbours, ngram_join, packing, quality, shards, substring, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,32 @@ OP13_SQL = f"""with d as (select row_number() over () as r, coalesce(lang, '') a
 @query("op13_source_divergence", OP13_SQL)
 def _(spark, d):
     return divergence.audit(table(spark, d, "documents"))
+
+
+OP11_SQL = f"""with d as (select coalesce(lang, 'und') as lang, {_LOWER.format(t="coalesce(text, '')")} as t from documents),
+  p as (select lang, row_number() over () as pid, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws
+    from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+  g as (select lang, ws, unnest(generate_series(1, len(ws))) as i from p),
+  grams as (select lang, n, array_to_string(ws[i:i + n - 1], ' ') as phrase from g join (values (1), (2), (3)) v(n) on i + n - 1 <= len(ws)),
+  f as (select lang, n, phrase, count(*) as f from grams group by all),
+  tot as (select lang, count(*) as words from grams where n = 1 group by lang),
+  c as (select lang, n, phrase, f as a, ws[1] as h1, array_to_string(ws[2:], ' ') as r1, ws[1] || ' ' || ws[2] as h2, ws[3] as r2,
+      ws[2] || ' ' || ws[3] as tail
+    from (select *, string_split(phrase, ' ') as ws from f where n >= 2 and f >= 10)),
+  cuts as (select c.lang, c.phrase, c.a, 1 as k, l.f as l, r.f as r from c
+      join f l on l.lang = c.lang and l.phrase = c.h1 join f r on r.lang = c.lang and r.phrase = c.r1
+    union all select c.lang, c.phrase, c.a, 2, l.f, r.f from c
+      join f l on l.lang = c.lang and l.phrase = c.h2 join f r on r.lang = c.lang and r.phrase = c.r2 where c.n = 3),
+  scored as (select *, (a::hugeint * a * 1000000) // (l::hugeint * r) as score from cuts),
+  best as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as o from scored) where o = 1),
+  inside as (select lang, h2 as phrase, a from c where n = 3 union all select lang, tail, a from c where n = 3),
+  outer_ as (select lang, phrase, max(a) as outer_a from inside group by all),
+  kept as (select b.* from best b left join outer_ o using (lang, phrase) where o.outer_a is null or 100 * o.outer_a < 50 * b.a),
+  ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+  select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, tot.words::bigint as n, score::bigint as score
+  from ranked join tot using (lang) where rank <= 2000"""
+
+
+@query("op11_collocations", OP11_SQL)
+def _(spark, d):
+    return collocations.collocations(table(spark, d, "documents"))
