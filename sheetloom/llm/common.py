@@ -45,3 +45,23 @@ def keep_rows(df: DataFrame, decide: Callable[[], Callable[[str], bool]], text:
             yield batch.filter(pa.array([passes(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def split_hot_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, spread: list[str]) -> DataFrame:
+    """``big`` joined with ``small`` (one row a key), keys that many rows of ``big`` share dealt over several tasks.
+
+    ``weight`` in ``small`` is the number of rows of ``big`` with that key. A key with
+    more than a task's share (total / shuffle partitions) gets ceil(weight / share)
+    salts; at most as many keys as there are shuffle partitions can be so hot, and only
+    they (their keys and salt counts) are broadcast. Rows of ``big`` choose a salt by a
+    hash of ``spread``; the key's row of ``small`` is repeated once a salt.
+    """
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    share = max(1, -(-total // partitions(big)))
+    hot = F.broadcast(small.where(F.col(weight) > share).select(*on, F.ceil(F.col(weight) / share).cast("int").alias("_salts")))
+    left = (big.join(hot, on, "left")
+            .withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts"))).cast("int"))
+            .drop("_salts"))
+    right = (small.join(hot, on, "left")
+             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
+    return left.join(right, [*on, "_salt"]).drop("_salt")

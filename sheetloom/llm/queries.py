@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..operators.staging import shared_dir
-from . import bpe, collocations, divergence, fingerprint, language_model, neighbours, ngram_join, packing, quality, shards, substring, toxicity
+from . import bpe, collocations, divergence, suffix_dedup, fingerprint, language_model, neighbours, ngram_join, packing, quality, shards, substring, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,8 @@ OP11_SQL = f"""with d as (select coalesce(lang, 'und') as lang, {_LOWER.format(t
 @query("op11_collocations", OP11_SQL)
 def _(spark, d):
     return collocations.collocations(table(spark, d, "documents"))
+
+
+@query("op12_suffix_dedup")
+def _(spark, d):
+    return suffix_dedup.remove_repeats(table(spark, d, "documents").select("doc_id", "text")).drop("text")
