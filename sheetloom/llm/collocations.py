@@ -158,12 +158,13 @@ def frequent_phrases(docs: DataFrame, text: str = "text", least: int = LEAST, ba
     tokens = _tokens(docs, text)
     counted = stage(_hashed(tokens).mapInArrow(lambda b: _grams(b, False, bases), _SCHEMA)
                     .groupBy("lang", "n", "fp1", "fp2")
-                    .agg(F.sum("count").alias("f"), F.min(F.struct("lo_row", "lo_pos")).alias("lo"), F.max(F.struct("hi_row", "hi_pos")).alias("hi"))
+                    .agg(F.sum("count").alias("f"), F.min("lo_row").alias("lo_row"), F.min_by("lo_pos", "lo_row").alias("lo_pos"),
+                         F.max("hi_row").alias("hi_row"), F.max_by("hi_pos", "hi_row").alias("hi_pos"))
                     .where((F.col("f") >= least) | (F.col("n") == 0)))
     words = tokens.select("_row", _pieces(F.col("_text")).alias("_words"))
     ends = counted.where(F.col("n") > 0).select("lang", "n", "fp1", "fp2", "f", F.explode(F.array(
-        F.struct(F.col("lo.lo_row").alias("_row"), F.col("lo.lo_pos").alias("pos")),
-        F.struct(F.col("hi.hi_row").alias("_row"), F.col("hi.hi_pos").alias("pos")))).alias("at"))
+        F.struct(F.col("lo_row").alias("_row"), F.col("lo_pos").alias("pos")),
+        F.struct(F.col("hi_row").alias("_row"), F.col("hi_pos").alias("pos")))).alias("at"))
     texts = (ends.select("lang", "n", "fp1", "fp2", "f", "at.*").join(words, "_row")
              .groupBy("lang", "n", "fp1", "fp2", "f")
              .agg(F.min(_phrase(F.col("_words"), F.col("pos"), F.col("n"))).alias("phrase"),
