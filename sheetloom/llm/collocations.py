@@ -1,11 +1,11 @@
 """Phrase collocation mining with Rabin-Karp fingerprints.
 
-Every 1- to 3-word phrase inside a piece gets two 64-bit polynomial fingerprints from
-prefix sums over word hashes (numpy, per Arrow batch). The shuffle aggregates counts
-per fingerprint with pointers to the first and last occurrence; only fingerprints
-seen at least ``LEAST`` times are materialised as text, from their pointers. When the
-texts at both pointers differ, the fingerprint is a collision and its occurrences are
-counted again by text. Cuts and containment are then joins of frequent phrases.
+Words are counted by text. Every phrase of 2 or 3 frequent words inside a piece gets a
+64-bit polynomial fingerprint from prefix sums over lang-salted word hashes (numpy,
+per Arrow batch); the shuffle aggregates counts per fingerprint, pre-aggregated in
+each slice and task. Only phrases whose fingerprint reaches ``LEAST`` are
+materialised as text, taken from the texts again and counted by text, which verifies
+every collision. Cuts and containment are then joins of frequent phrases.
 
 Nulls: a null text is empty, a null lang is ``und``. Empty texts and pieces give no
 phrases; an empty table gives no rows. Texts are never cut. Input columns other than
@@ -38,18 +38,12 @@ UNKNOWN_LANG = "und"
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Documents hashed together, so that a task holds the arrays of a bounded number of rows.
 SLICE_ROWS = 256
-#: Collided fingerprints up to this number are broadcast when their phrases are counted again.
-BROADCAST_KEYS = 100_000
-
-_OUT = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("count", pa.int64()),
-                  ("lo_row", pa.int64()), ("lo_pos", pa.int64()), ("hi_row", pa.int64()), ("hi_pos", pa.int64())])
-_SCHEMA = "lang string, n int, fp1 long, fp2 long, count long, lo_row long, lo_pos long, hi_row long, hi_pos long"
-
+#: Frequent words and fingerprints up to this number (8 bytes each) are sent to every task.
+BROADCAST_KEYS = 4_000_000
 
 def _tokens(docs: DataFrame, text: str) -> DataFrame:
-    """_row, lang, _text; the row number is the same in every plan over the same scan."""
-    return docs.select(F.monotonically_increasing_id().alias("_row"),
-                       F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"),
+    """lang, _text."""
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
 
 
@@ -78,110 +72,106 @@ def _fingerprints(h: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return pw, q
 
 
-def _grams(batches: Iterator[pa.RecordBatch], every: bool = False, bases: tuple = BASES) -> Iterator[pa.RecordBatch]:
-    """Counts of (lang, n, fp1, fp2) in each batch with the first and last pointer (row, word place).
-
-    n = 0 carries the number of words of a lang. With ``every``, one row per occurrence.
-    """
+def _slices(batches: Iterator[pa.RecordBatch]):
+    """Per slice of rows: lang-salted word hashes, piece and document of each word, and the rows."""
     for batch in in_slices(batches, SLICE_ROWS):
         if batch.num_rows == 0:
             continue
-        rows = batch.column("_row").to_numpy()
-        langs = batch.column("lang").to_pylist()
         pieces = batch.column("_h")
         inner = pieces.flatten()
         doc_pieces = pc.list_value_length(pieces).fill_null(0).to_numpy()
         piece_words = pc.list_value_length(inner).fill_null(0).to_numpy()
-        h = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        piece = np.repeat(np.arange(len(piece_words)), piece_words)
         doc = np.repeat(np.repeat(np.arange(batch.num_rows), doc_pieces), piece_words)
-        doc_start = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))[:-1]]).astype(np.int64)
-        pos = np.arange(len(h)) - doc_start[doc]
-        codes, names = _codes(langs)
+        lang = batch.column("_lh").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        h = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ lang[doc]
+        piece = np.repeat(np.arange(len(piece_words)), piece_words)
+        yield batch, h, piece, doc
+
+
+def _starts(h: np.ndarray, piece: np.ndarray, frequent: np.ndarray | None, n: int) -> np.ndarray:
+    """Places where a phrase of n words begins inside one piece, all its words frequent."""
+    if len(h) < n:
+        return np.zeros(0, np.int64)
+    ok = piece[: len(h) - n + 1] == piece[n - 1:]
+    if frequent is not None:
+        known = np.isin(h, frequent)
+        for j in range(n):
+            ok &= known[j: len(h) - n + 1 + j]
+    return np.nonzero(ok)[0]
+
+
+def _counts(batches: Iterator[pa.RecordBatch], frequent: np.ndarray | None, bases: tuple) -> Iterator[pa.RecordBatch]:
+    """fp, count: Rabin-Karp fingerprints of the phrases of 2 and 3 frequent words, counted per slice."""
+    for _, h, piece, _doc in _slices(batches):
+        pw, q = _fingerprints(h, bases[0])
         out = []
-        if not every:
-            for c in np.unique(codes):
-                mask = codes[doc] == c if len(doc) else np.zeros(0, bool)
-                if mask.any():
-                    out.append((names[c], 0, 0, 0, int(mask.sum()), 0, 0, 0, 0))
-        if len(h):
-            fps = [_fingerprints(h, b) for b in bases]
-            keys = []
-            for n in range(1, LONGEST + 1):
-                if len(h) < n:
-                    break
-                i = np.nonzero(piece[: len(h) - n + 1] == piece[n - 1:])[0]
-                with np.errstate(over="ignore"):
-                    f = [pw[i + n] * (q[i + n] - q[i]) for pw, q in fps]
-                keys.append((np.full(len(i), n, np.int32), f[0], f[1], i))
-            n_, f1, f2, at = (np.concatenate(x) for x in zip(*keys))
-            lang = codes[doc[at]]
-            if every:
-                yield _batch([names[x] for x in lang], n_, f1, f2, np.ones(len(at), np.int64), rows[doc[at]], pos[at], rows[doc[at]], pos[at])
-            else:
-                order = np.lexsort((at, f2, f1, n_, lang))
-                lang, n_, f1, f2, at = lang[order], n_[order], f1[order], f2[order], at[order]
-                new = np.ones(len(at), bool)
-                new[1:] = (lang[1:] != lang[:-1]) | (n_[1:] != n_[:-1]) | (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])
-                start = np.nonzero(new)[0]
-                end = np.append(start[1:], len(at)) - 1
-                lo, hi = at[start], at[end]
-                yield _batch([names[x] for x in lang[start]], n_[start], f1[start], f2[start], (end - start + 1).astype(np.int64),
-                             rows[doc[lo]], pos[lo], rows[doc[hi]], pos[hi])
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(_OUT.names, r)) for r in out], _OUT)
-
-
-def _codes(langs: list) -> tuple[np.ndarray, list]:
-    names = sorted(set(langs))
-    index = {x: i for i, x in enumerate(names)}
-    return np.array([index[x] for x in langs], np.int64), names
-
-
-def _batch(lang, n, f1, f2, count, lo_row, lo_pos, hi_row, hi_pos) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(n, pa.int32()),
-                                       pa.array(np.asarray(f1, np.uint64).view(np.int64)), pa.array(np.asarray(f2, np.uint64).view(np.int64)),
-                                       pa.array(count, pa.int64()), pa.array(lo_row, pa.int64()), pa.array(lo_pos, pa.int64()),
-                                       pa.array(hi_row, pa.int64()), pa.array(hi_pos, pa.int64())], schema=_OUT)
+        for n in range(2, LONGEST + 1):
+            i = _starts(h, piece, frequent, n)
+            with np.errstate(over="ignore"):
+                out.append(pw[i + n] * (q[i + n] - q[i]) ^ np.uint64(n))
+        fp, count = np.unique(np.concatenate(out), return_counts=True)
+        if len(fp):
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(count.astype(np.int64))], ["fp", "count"])
+
+
+def _phrases(batches: Iterator[pa.RecordBatch], frequent: np.ndarray | None, seen: np.ndarray | None, bases: tuple) -> Iterator[pa.RecordBatch]:
+    """lang, n, phrase, count: the text of every occurrence whose fingerprint was counted often enough, per slice."""
+    for batch, h, piece, doc in _slices(batches):
+        words = batch.column("_words").flatten().flatten().to_pylist()
+        langs = batch.column("lang").to_pylist()
+        pw, q = _fingerprints(h, bases[0])
+        found: dict = {}
+        for n in range(2, LONGEST + 1):
+            i = _starts(h, piece, frequent, n)
+            with np.errstate(over="ignore"):
+                fp = pw[i + n] * (q[i + n] - q[i]) ^ np.uint64(n)
+            if seen is not None:
+                i = i[np.isin(fp, seen)]
+            for at in i.tolist():
+                key = (langs[doc[at]], n, " ".join(words[at: at + n]))
+                found[key] = found.get(key, 0) + 1
+        if found:
+            lang, n, phrase = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(phrase, pa.string()),
+                                              pa.array(list(found.values()), pa.int64())], ["lang", "n", "phrase", "count"])
 
 
 def _hashed(tokens: DataFrame) -> DataFrame:
-    return tokens.select("_row", "lang", F.transform(_pieces(F.col("_text")), lambda ws: F.transform(ws, lambda w: F.xxhash64(w))).alias("_h"))
+    pieces = _pieces(F.col("_text"))
+    return tokens.select("lang", F.xxhash64("lang").alias("_lh"), pieces.alias("_words"),
+                         F.transform(pieces, lambda ws: F.transform(ws, lambda w: F.xxhash64(w))).alias("_h"))
 
 
-def _phrase(words: Column, pos: Column, n: Column) -> Column:
-    return F.array_join(F.slice(F.flatten(words), pos + 1, n), " ")
+def _small(df: DataFrame, column: str, bound: int) -> np.ndarray | None:
+    """The sorted values of a column when there are at most ``bound`` of them (counted first), else None."""
+    if df.count() > bound:
+        return None
+    return np.sort(np.array([r[0] for r in df.select(column).collect()], np.int64).view(np.uint64))
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", least: int = LEAST, bases: tuple = BASES) -> DataFrame:
-    """lang, n (words), phrase, f for every phrase of 1 to 3 words seen ``least`` times or more, and n = 0 rows with the words of each lang."""
+    """lang, n (words), phrase, f for every phrase of 1 to 3 words seen ``least`` times or more, and n = 0 rows with the words of each lang.
+
+    Words are counted by text. Phrases of 2 and 3 frequent words are counted by
+    fingerprint; a fingerprint's count is at least that of each of its phrases, so the
+    text of every occurrence whose fingerprint reaches ``least`` is taken again and
+    counted by text, which settles collisions. The sets of frequent words and
+    fingerprints reach the tasks when counted under ``BROADCAST_KEYS``; beyond it words
+    are not used to prune, and every phrase is counted by text.
+    """
     tokens = _tokens(docs, text)
-    counted = stage(_hashed(tokens).mapInArrow(lambda b: _grams(b, False, bases), _SCHEMA)
-                    .groupBy("lang", "n", "fp1", "fp2")
-                    .agg(F.sum("count").alias("f"), F.min("lo_row").alias("lo_row"), F.min_by("lo_pos", "lo_row").alias("lo_pos"),
-                         F.max("hi_row").alias("hi_row"), F.max_by("hi_pos", "hi_row").alias("hi_pos"))
-                    .where((F.col("f") >= least) | (F.col("n") == 0)))
-    words = tokens.select("_row", _pieces(F.col("_text")).alias("_words"))
-    ends = counted.where(F.col("n") > 0).select("lang", "n", "fp1", "fp2", "f", F.explode(F.array(
-        F.struct(F.col("lo_row").alias("_row"), F.col("lo_pos").alias("pos")),
-        F.struct(F.col("hi_row").alias("_row"), F.col("hi_pos").alias("pos")))).alias("at"))
-    texts = (ends.select("lang", "n", "fp1", "fp2", "f", "at.*").join(words, "_row")
-             .groupBy("lang", "n", "fp1", "fp2", "f")
-             .agg(F.min(_phrase(F.col("_words"), F.col("pos"), F.col("n"))).alias("phrase"),
-                  F.max(_phrase(F.col("_words"), F.col("pos"), F.col("n"))).alias("other")))
-    texts = stage(texts)
-    clean = texts.where(F.col("phrase") == F.col("other")).select("lang", "n", "phrase", "f")
-    collided = texts.where(F.col("phrase") != F.col("other")).select("lang", "n", "fp1", "fp2")
-    totals = counted.where(F.col("n") == 0).select("lang", "n", F.lit(None).cast("string").alias("phrase"), "f")
-    bad = collided.count()
-    if bad == 0:
-        return clean.unionByName(totals)
-    keys = F.broadcast(collided) if bad <= BROADCAST_KEYS else collided
-    again = (_hashed(tokens).mapInArrow(lambda b: _grams(b, True, bases), _SCHEMA).join(keys, ["lang", "n", "fp1", "fp2"])
-             .select("lang", "n", F.col("lo_row").alias("_row"), F.col("lo_pos").alias("pos")).join(words, "_row")
-             .groupBy("lang", "n", _phrase(F.col("_words"), F.col("pos"), F.col("n")).alias("phrase")).agg(F.count(F.lit(1)).alias("f"))
-             .where(F.col("f") >= least))
-    return clean.unionByName(again).unionByName(totals)
+    word_counts = stage(tokens.select("lang", F.explode(F.flatten(_pieces(F.col("_text")))).alias("phrase"))
+                        .groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")))
+    words = word_counts.where(F.col("f") >= least)
+    frequent = _small(words.select(F.xxhash64("phrase").bitwiseXOR(F.xxhash64("lang")).alias("k")), "k", BROADCAST_KEYS)
+    hashed = _hashed(tokens)
+    counted = stage(hashed.select("_h", "_lh").mapInArrow(lambda b: _counts(b, frequent, bases), "fp long, count long")
+                    .groupBy("fp").agg(F.sum("count").alias("f")).where(F.col("f") >= least))
+    seen = _small(counted, "fp", BROADCAST_KEYS)
+    longer = (hashed.mapInArrow(lambda b: _phrases(b, frequent, seen, bases), "lang string, n int, phrase string, count long")
+              .groupBy("lang", "n", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least))
+    totals = word_counts.groupBy("lang").agg(F.sum("f").alias("f")).select("lang", F.lit(0).alias("n"), F.lit(None).cast("string").alias("phrase"), "f")
+    return words.select("lang", F.lit(1).alias("n"), "phrase", "f").unionByName(longer).unionByName(totals)
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:

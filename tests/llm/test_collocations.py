@@ -75,3 +75,11 @@ def test_fingerprints_of_a_collision_are_counted_again(spark):
     found = collocations.frequent_phrases(frame, bases=(1, 1)).where("n = 2").collect()
     assert {(r.phrase, r.f) for r in found} == {("a b", 20), ("b a", 15), ("b c", 10)}
     assert got(collocations.collocations(frame, bases=(1, 1))) == mine(rows)
+
+
+def test_op11_without_broadcast_sets(spark, monkeypatch):
+    # beyond the bound nothing is pruned and every phrase is counted by text: the same rows
+    rows = [(t, "en") for _, t in edge_rows()] + [("New York is big. new york city; NEW YORK CITY hall!", "en")] * 12
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    monkeypatch.setattr(collocations, "BROADCAST_KEYS", 0)
+    assert got(collocations.collocations(frame)) == mine(rows)
