@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sheetloom.functions import text as T
 from sheetloom.operators import nest as N
 from sheetloom.operators import segment as S
-from sheetloom.plans.convert import SheetSpec, convert
+from sheetloom.plans.convert import Level, SheetSpec, convert
 from sheetloom.sources.grid import to_cells
 
 from . import query
@@ -264,3 +264,42 @@ def flagship(spark, d):
   select conv_id, turn, string_agg(w, ' ' order by i) as words from f group by all""")
 def _(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(S.dedupe(F.split("text", " ")), " ").alias("words"))
+
+
+# ---- documents with levels: flags that open on change, states that re-open by key -----------------
+
+def level_spec() -> SheetSpec:
+    return SheetSpec(boundary=boundary(), header={"no": C("c0"), "status": C("c1")}, lists={}, levels=[
+        Level("flags", key=C("c2"), key_name="flag"),
+        Level("states", key=C("c3"), keyed=True, triggers=["F"], free=C("c2").isNotNull(), key_name="state",
+              distinct={"quantities": C("c5")}, lists={"items": C("c4")})])
+
+
+@query("convert_levels", f"""with {_CHANGE_SQL},
+  lv as (select *, last_value(case when c3 = 'F' or c2 is not null then c3 end ignore nulls)
+      over (partition by table_id, group_id order by row_idx) as state from grp where entry_id > 0 and not ({_BLANK})),
+  it as (select table_id, entry_id, group_id, state, min(row_idx) as at_row,
+      coalesce(string_agg(c4, '|' order by row_idx) filter (where c4 is not null), '') as items from lv where state is not null group by all),
+  qs as (select table_id, entry_id, group_id, state, c5, min(row_idx) as first_at from lv
+      where state is not null and c5 is not null and c5 <> '-' group by all),
+  qd as (select table_id, entry_id, group_id, state, string_agg(c5, '|' order by first_at) as quantities from qs group by all),
+  st as (select it.*, coalesce(qd.quantities, '') as quantities from it left join qd using (table_id, entry_id, group_id, state)),
+  fl as (select table_id, entry_id, group_id, max(case when opens then c2 end) as flag, min(row_idx) as at_row
+      from grp where entry_id > 0 and not ({_BLANK}) group by all),
+  fs as (select fl.table_id, fl.entry_id, fl.flag, fl.at_row, count(st.state) as n_states,
+      coalesce(string_agg(st.state || '[' || st.items || '][' || st.quantities || ']', ',' order by st.at_row), '') as states
+      from fl left join st using (table_id, entry_id, group_id) group by all),
+  h as (select table_id, entry_id, min_by(c0, row_idx) filter (where c0 is not null) as "no",
+      min_by(c1, row_idx) filter (where c1 is not null) as status from grp where entry_id > 0 group by all)
+  select table_id, entry_id, cast(0 as bigint) as part, any_value(h."no") as "no", any_value(h.status) as status,
+    string_agg(coalesce(flag, '') || '{{' || states || '}}', ';' order by at_row) as flags,
+    cast(count(*) as bigint) as n_flags, cast(sum(n_states) as bigint) as n_states
+  from fs join h using (table_id, entry_id) group by table_id, entry_id""")
+def _(spark, d):
+    out = convert(sheet(spark, d), level_spec())
+    states = lambda f: F.array_join(F.transform(f["states"], lambda s: F.concat(
+        s["state"], F.lit("["), F.array_join(s["items"], "|"), F.lit("]["), F.array_join(s["quantities"], "|"), F.lit("]"))), ",")
+    flags = F.transform("flags", lambda f: F.concat(F.coalesce(f["flag"], F.lit("")), F.lit("{"), states(f), F.lit("}")))
+    return out.select("table_id", "entry_id", "part", "no", "status", F.array_join(flags, ";").alias("flags"),
+                      F.size("flags").cast("bigint").alias("n_flags"),
+                      F.aggregate("flags", F.lit(0).cast("bigint"), lambda a, f: a + F.size(f["states"])).alias("n_states"))
