@@ -146,7 +146,8 @@ def _small(df: DataFrame, column: str, bound: int) -> np.ndarray | None:
     """The sorted values of a column when there are at most ``bound`` of them (counted first), else None."""
     if df.count() > bound:
         return None
-    return np.sort(np.array([r[0] for r in df.select(column).collect()], np.int64).view(np.uint64))
+    values = df.select(column).toArrow().column(0).to_numpy()
+    return np.sort(values.astype(np.int64).view(np.uint64))
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", least: int = LEAST, bases: tuple = BASES) -> DataFrame:
