@@ -1,8 +1,8 @@
 """Source divergence audit by chunk factorization.
 
-Texts are cut at white space into chunks; every distinct chunk of the corpus is
-tokenized once, and its terms are joined back to the documents and groups that hold
-it. From the term counts of each (lang, source) group and of each lang, smoothed
+Texts are cut at white space into chunks, counted per document; every distinct chunk
+of the corpus is tokenized once, and its terms are joined back to the groups that
+hold it. From the term counts of each (lang, source) group and of each lang, smoothed
 parts per billion are compared term by term.
 
 Nulls: a null text, lang or source is read as ''. A document is a row: repeated rows
@@ -12,10 +12,13 @@ their names. Texts are never cut; a chunk may be as long as its text.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stage
+from .common import in_slices, stage
 
 # fixed values of the contract: the term pattern, the smoothing and the report sizes
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -26,6 +29,8 @@ TOP_TERMS = 10
 
 #: Chunks are cut at the space and these characters: ASCII white space and controls, never part of a term.
 CONTROLS = "".join(map(chr, range(32)))
+#: Chunk forms of terms with several forms, in entries and in characters, sent to every task up to this size.
+BROADCAST_FORMS = 4_000_000
 #: Tasks over which the pairs of one lang's sources are dealt.
 PAIR_SPLIT = 16
 
@@ -35,25 +40,6 @@ def _chunks(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, CONTROLS, " " * len(CONTROLS)), " "), lambda c: c != "")
 
 
-def _salted(per_doc: DataFrame, vocab: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a column ``_salt``: chunks held by more than a task's share of rows are split.
-
-    A chunk is hot when more than ``total / parts`` rows hold it, so at most ``parts``
-    chunks are hot: that table, two hashes and a count a row, is what is broadcast.
-    """
-    total = vocab.agg(F.sum("n_docs")).first()[0] or 0
-    share = max(1, -(-total // parts))
-    key = [F.xxhash64("chunk").alias("_h1"), F.xxhash64("chunk", F.lit("salt")).alias("_h2")]
-    hot = F.broadcast(vocab.where(F.col("n_docs") > share)
-                      .select(*key, F.ceil(F.col("n_docs") / share).cast("int").alias("_salts")))
-    big = (per_doc.select("*", *key).join(hot, ["_h1", "_h2"], "left")
-           .select(*per_doc.columns, F.when(F.col("_salts").isNull(), 0)
-                   .otherwise(F.pmod(F.xxhash64("_row"), F.col("_salts"))).cast("int").alias("_salt")))
-    small = (vocab.select("*", *key).join(hot, ["_h1", "_h2"], "left")
-             .select(*vocab.columns, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt")))
-    return big, small
-
-
 def _ppb(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(SCALE * (count + 2) / (total + 2 kept)), exact: the quotient is at most SCALE."""
     num = (count + 2).cast("decimal(38,0)") * F.lit(SCALE).cast("decimal(38,0)")
@@ -66,34 +52,67 @@ def _gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def term_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, count) of every term occurrence and (lang, term, n_docs).
-
-    Each distinct chunk is tokenized once; occurrences are pre-aggregated per
-    (lang, source, chunk) before they meet the chunk's terms, documents per chunk are
-    joined with hot chunks split over several tasks.
+def _first_marks(ordered: Column) -> Column:
+    """Sorted chunks (a column, so that it is sorted once), each marked when it is the first of equal ones."""
+    return F.transform(ordered, lambda x, i: F.struct(x.alias("chunk"), F.coalesce(x != F.get(ordered, i - 1), F.lit(True)).alias("first")))
+
+
+def _held_terms(batches: Iterator[pa.RecordBatch], forms: dict) -> Iterator[pa.RecordBatch]:
+    """lang, term, n_docs per batch: documents that hold a term through any of its chunk forms."""
+    blank = {i: " " for i in range(32)}
+    for batch in in_slices(batches, 1_000):
+        counts: dict = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("_text").to_pylist()):
+            held = set()
+            for chunk in set(text.translate(blank).split(" ")):
+                held.update(forms.get((lang, chunk), ()))
+            for term in held:
+                counts[lang, term] = counts.get((lang, term), 0) + 1
+        if counts:
+            langs, terms = zip(*counts)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.string()),
+                                              pa.array(list(counts.values()), pa.int64())], ["lang", "term", "n_docs"])
+
+
+def term_counts(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, term, count) of every term occurrence and (lang, term, n_docs) of terms that can be kept.
+
+    Chunks are counted per (lang, source, chunk) with the number of documents that
+    hold them, pre-aggregated before the shuffle. Each distinct chunk is tokenized
+    once and its terms join back. A term that only one chunk form of its lang holds
+    is in as many documents as that chunk; a term with several forms is counted per
+    document, by a pass that looks its forms up in a dictionary sent to the tasks when
+    it is under ``BROADCAST_FORMS`` entries and characters, else by a join.
     """
-    parts = partitions(docs)
     d = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
                     F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-                    F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
-                    F.monotonically_increasing_id().alias("_row"))
-    # one pass over the texts: chunks counted per document, pre-aggregated in the task that reads it
-    per_doc = stage(d.select("lang", "source", "_row", F.explode(_chunks(F.col("_text"))).alias("chunk"))
-                    .groupBy("lang", "source", "_row", "chunk").agg(F.count(F.lit(1)).alias("c")))
-    vocab = stage(per_doc.groupBy("chunk").agg(F.count(F.lit(1)).alias("n_docs"))
-                  .select("chunk", "n_docs", F.regexp_extract_all("chunk", F.lit(TERM), 0).alias("terms"))
+                    F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
+    sorted_chunks = d.select("lang", "source", F.array_sort(_chunks(F.col("_text"))).alias("_sorted"))
+    per_group = stage(sorted_chunks.select("lang", "source", F.explode(_first_marks(F.col("_sorted"))).alias("x"))
+                      .groupBy("lang", "source", F.col("x.chunk").alias("chunk"))
+                      .agg(F.count(F.lit(1)).alias("c"), F.count_if("x.first").alias("d")))
+    vocab = stage(per_group.select("chunk").distinct()
+                  .select("chunk", F.transform(F.regexp_extract_all("chunk", F.lit(TERM), 0), lambda t: F.translate(t, UPPER, LOWER)).alias("terms"))
                   .where(F.size("terms") > 0))
-    terms = vocab.select("chunk", "terms")
-    occ = (per_doc.groupBy("lang", "source", "chunk").agg(F.sum("c").alias("c"))
-           .join(terms, "chunk")
-           .select("lang", "source", F.explode("terms").alias("raw"), "c")
-           .groupBy("lang", "source", F.translate("raw", UPPER, LOWER).alias("term")).agg(F.sum("c").alias("count")))
-    big, small = _salted(per_doc.select("lang", "_row", "chunk"), vocab, parts)
-    held = (big.join(small.select("chunk", "_salt", "terms"), ["chunk", "_salt"])
-            .select("lang", "_row", F.explode(F.array_distinct(F.transform("terms", lambda t: F.translate(t, UPPER, LOWER)))).alias("term"))
-            .groupBy("lang", "term").agg(F.count_distinct("_row").alias("n_docs")))
-    return occ, held
+    joined = per_group.join(vocab, "chunk").select("lang", "source", "chunk", "c", "d", F.explode("terms").alias("term"))
+    occ = joined.groupBy("lang", "source", "term").agg(F.sum("c").alias("count"))
+    forms = stage(joined.select("lang", "source", "chunk", "term", "d").distinct()
+                  .groupBy("lang", "term", "chunk").agg(F.sum("d").alias("d"))
+                  .withColumn("n_forms", F.count(F.lit(1)).over(Window.partitionBy("lang", "term")))
+                  .withColumn("upper", F.sum("d").over(Window.partitionBy("lang", "term"))))
+    single = forms.where((F.col("n_forms") == 1) & (F.col("d") >= least_docs)).select("lang", "term", F.col("d").alias("n_docs"))
+    several = forms.where((F.col("n_forms") > 1) & (F.col("upper") >= least_docs)).select("lang", "chunk", "term")
+    size = several.agg(F.count(F.lit(1)), F.sum(F.length("chunk") + F.length("term"))).first()
+    if (size[0] or 0) <= BROADCAST_FORMS and (size[1] or 0) <= BROADCAST_FORMS:
+        lookup: dict = {}
+        for r in several.collect():
+            lookup.setdefault((r.lang, r.chunk), []).append(r.term)
+        held = d.select("lang", "_text").mapInArrow(lambda b: _held_terms(b, lookup), "lang string, term string, n_docs long")
+        multi = held.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
+    else:
+        rows = d.select("lang", F.monotonically_increasing_id().alias("_row"), F.explode(F.array_distinct(_chunks(F.col("_text")))).alias("chunk"))
+        multi = rows.join(several, ["lang", "chunk"]).groupBy("lang", "term").agg(F.count_distinct("_row").alias("n_docs"))
+    return occ, single.unionByName(multi)
 
 
 def audit(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
@@ -108,7 +127,7 @@ def audit(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, top
     Ranks start at 1 per group and part: value descending, item ascending in UTF-8
     byte order. Only (lang, source) groups give rows; the lang's p is the q of ``term``.
     """
-    occ, held = term_counts(docs, text)
+    occ, held = term_counts(docs, text, least_docs)
     groups = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
                          F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).distinct()
     kept = stage(held.where(F.col("n_docs") >= least_docs).select("lang", "term"))
