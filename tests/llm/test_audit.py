@@ -75,3 +75,11 @@ def test_op13_edges(spark):
     assert got(divergence.audit(spark.createDataFrame([("a b", "x", "s")], "text string, lang string, source string"))) == {}
     two = spark.createDataFrame([("a", "x", "s"), (None, "x", "t")], "text string, lang string, source string")
     assert got(divergence.audit(two)) == {("x", "s", "pair", "t"): (0, 1), ("x", "t", "pair", "s"): (0, 1)}
+
+
+def test_op13_terms_of_several_forms_by_join(spark, monkeypatch):
+    # beyond the bound the forms are joined with every document's chunks: the same rows
+    rows = [("The the, THE. the! other Other", "en", s) for s in ("a", "b")] * 6 + [("the x", "en", "c"), (None, None, None)]
+    frame = spark.createDataFrame(rows, "text string, lang string, source string")
+    monkeypatch.setattr(divergence, "BROADCAST_FORMS", 0)
+    assert got(divergence.audit(frame, least_docs=3)) == audit(rows, 3)
