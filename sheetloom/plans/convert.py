@@ -180,3 +180,49 @@ def convert_levels(grid: DataFrame, spec: SheetSpec, part_rows: int = PART_ROWS)
     whole = Window.partitionBy(TABLE, "entry_id")      # the parts of one entry share its attributes
     header = [F.min(c).over(whole)["v"].alias(c) for c in spec.header]
     return docs.select(*_ENTRY, *header, *spec.distinct, *spec.lists, *spec.trees, first_level)
+
+
+def _column_name(c: Column) -> str:
+    """The cell column that a spec column reads; lineage needs plain column references."""
+    text = str(c)
+    if text.startswith("Column<'") and text.endswith("'>"):
+        return text[len("Column<'"):-2].strip("`")
+    raise ValueError(f"lineage needs plain cell columns, not {text}")
+
+
+def lineage(grid: DataFrame, spec: SheetSpec, part_rows: int = PART_ROWS) -> DataFrame:
+    """(table_id, row_idx, col_idx) of every cell whose value the documents of ``convert`` with levels hold.
+
+    A key cell counts when its value is its group's key, a first-value cell when its value
+    is the value chosen for its group or entry, a list, distinct or tree cell when it is
+    not a placeholder and its row is in a group of that level. Cells of rows before the
+    first entry, placeholders and values that a first value or key hides count nowhere.
+    """
+    if not spec.levels:
+        raise ValueError("lineage is given for specs with levels")
+    rows, names = _keys(grid, spec, part_rows)
+    cells = {c: i for i, c in enumerate(cell_columns(grid))}
+
+    class _Index(dict):
+        def __missing__(self, name):
+            raise ValueError(f"lineage needs plain cell columns, not {name}")
+
+    index = _Index(cells)
+
+    def kept(c: Column) -> Column:
+        return c.isNotNull() & ~T.is_placeholder(c, spec.placeholders)
+
+    def chosen(c: Column, keys: list[str]) -> Column:
+        first = F.min(F.when(c.isNotNull(), F.struct(F.col(ROW).alias("at"), c.alias("v")))).over(Window.partitionBy(*keys))["v"]
+        return c.isNotNull() & (c == first)
+
+    marks: list[tuple[int, Column]] = [(index[_column_name(c)], chosen(c, [TABLE, "entry_id"])) for c in spec.header.values()]
+    marks += [(index[_column_name(c)], kept(c)) for c in [*spec.distinct.values(), *spec.lists.values(), *spec.trees.values()]]
+    for k, level in enumerate(spec.levels, 1):
+        inside = F.col(f"_k{k}").isNotNull() if level.keyed else F.lit(True)
+        keys = [*_ENTRY, *names[k - 1]]
+        marks.append((index[_column_name(level.key)], level.key.isNotNull() & (level.key == F.col(f"_k{k}"))))
+        marks += [(index[_column_name(c)], inside & chosen(c, keys)) for c in level.first.values()]
+        marks += [(index[_column_name(c)], inside & kept(c)) for c in [*level.distinct.values(), *level.lists.values(), *level.trees.values()]]
+    held = F.array_distinct(F.array_compact(F.array(*[F.when(m, F.lit(j)) for j, m in marks])))
+    return rows.select(TABLE, ROW, held.alias("_held")).select(TABLE, ROW, F.explode("_held").alias("col_idx"))

@@ -154,3 +154,20 @@ def test_levels_edges(spark):
             ("a", 3, None, None, None, "Other", "a. r", "-", None)]
     grid = spark.createDataFrame(rows, schema)
     assert norm(got(convert(grid, spec()))) == norm(walk(rows))
+
+
+def test_lineage_edges(spark):
+    import pytest
+
+    from sheetloom.plans.convert import lineage
+    schema = "table_id string, row_idx bigint, c0 string, c1 string, c2 string, c3 string, c4 string, c5 string, c6 string"
+    assert lineage(spark.createDataFrame([], schema), spec()).count() == 0
+    rows = [("a", 1, None, "x", "L", "T1", "1. q", "s", None), ("a", 2, "7", "open", "L", "T1", None, "-", None),
+            ("a", 3, None, "shut", "L", "Other", "a. r", "m", "n")]
+    got_ = {(r.row_idx, r.col_idx) for r in lineage(spark.createDataFrame(rows, schema), spec()).collect()}
+    # row 1 is before the entry and the status of row 3 is hidden by the first one; "Other" switches as c2 is
+    # filled there; the placeholder of row 2 is the first value of its group, so it is held as such
+    assert got_ == {(2, 0), (2, 1), (2, 2), (2, 3), (2, 5), (3, 2), (3, 3), (3, 4), (3, 5), (3, 6)}
+    with pytest.raises(ValueError):
+        lineage(spark.createDataFrame(rows, schema), SheetSpec(boundary=C("c0").isNotNull(), header={"no": F.upper("c0")}, lists={},
+                                                               levels=[Level("x", key=C("c2"))]))

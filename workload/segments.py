@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sheetloom.functions import text as T
 from sheetloom.operators import nest as N
 from sheetloom.operators import segment as S
-from sheetloom.plans.convert import Level, SheetSpec, convert
+from sheetloom.plans.convert import Level, SheetSpec, convert, lineage
 from sheetloom.sources.grid import to_cells
 
 from . import query
@@ -303,3 +303,26 @@ def _(spark, d):
     return out.select("table_id", "entry_id", "part", "no", "status", F.array_join(flags, ";").alias("flags"),
                       F.size("flags").cast("bigint").alias("n_flags"),
                       F.aggregate("flags", F.lit(0).cast("bigint"), lambda a, f: a + F.size(f["states"])).alias("n_states"))
+
+
+@query("unmapped_by_levels", f"""with {_CHANGE_SQL},
+  lv as (select *, last_value(case when c3 = 'F' or c2 is not null then c3 end ignore nulls)
+      over (partition by table_id, group_id order by row_idx) as state,
+      max(case when opens then c2 end) over (partition by table_id, group_id) as flag,
+      min_by(c0, row_idx) filter (where c0 is not null) over (partition by table_id, entry_id) as first_no,
+      min_by(c1, row_idx) filter (where c1 is not null) over (partition by table_id, entry_id) as first_status
+    from grp where entry_id > 0 and not ({_BLANK})),
+  held as (select table_id, row_idx, 0 as col_idx from lv where c0 = first_no
+    union all select table_id, row_idx, 1 from lv where c1 = first_status
+    union all select table_id, row_idx, 2 from lv where c2 = flag
+    union all select table_id, row_idx, 3 from lv where c3 = state
+    union all select table_id, row_idx, 4 from lv where state is not null and c4 is not null
+    union all select table_id, row_idx, 5 from lv where state is not null and c5 is not null and c5 <> '-'),
+  cells as (select table_id, row_idx, unnest([0, 1, 2, 3, 4, 5]) as col_idx, unnest([c0, c1, c2, c3, c4, c5]) as value from sheet)
+  select table_id, col_idx, count(*) as n_unmapped from cells c
+  where value is not null and trim(value) <> '' and not exists (select 1 from held h where h.table_id = c.table_id and h.row_idx = c.row_idx and h.col_idx = c.col_idx)
+  group by all""")
+def _(spark, d):
+    grid = sheet(spark, d)
+    lost = S.unmapped_cells(to_cells(grid), lineage(grid, level_spec()))
+    return lost.groupBy("table_id", F.col("col_idx").cast("int").alias("col_idx")).agg(F.count(F.lit(1)).alias("n_unmapped"))
