@@ -147,13 +147,17 @@ def audit(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, top
                  .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
                  .withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top))
 
-    # dense vectors over the lang's kept terms in term order; a term the group lacks has count 0
+    # dense vectors over the lang's kept terms in term order; a term the group lacks has count 0. The
+    # (group, term) table is made on (lang, bucket of the term's place), so that one lang is spread
     index = kept.select("lang", "term", (F.row_number().over(Window.partitionBy("lang").orderBy("term")) - 1).cast("int").alias("i"))
-    sparse = group_p.join(index, ["lang", "term"]).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("i", "p"))).alias("m"))
+    index = index.withColumn("_b", F.pmod(F.col("i"), F.lit(PAIR_SPLIT)))
+    spread = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SPLIT - 1))))
     zero = _ppb(F.lit(0).cast("long"), F.col("n"), F.col("v"))
-    vectors = (sizes.join(sparse, ["lang", "source"], "left")
-               .select("lang", "source", F.transform(F.when(F.col("v") > 0, F.sequence(F.lit(0), F.col("v").cast("int") - 1)).otherwise(F.array().cast("array<int>")),
-                                                     lambda i: F.coalesce(F.try_element_at(F.col("m"), i), zero)).alias("vec")))
+    dense = (spread.join(index, ["lang", "_b"]).join(group_p, ["lang", "source", "term"], "left")
+             .select("lang", "source", "i", F.coalesce("p", zero).alias("p")))
+    vectors = stage(sizes.select("lang", "source").join(
+        dense.groupBy("lang", "source").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("_v")), ["lang", "source"], "left")
+        .select("lang", "source", F.coalesce(F.transform("_v", lambda x: x["p"]), F.array().cast("array<long>")).alias("vec")))
     left = vectors.withColumn("_b", F.pmod(F.xxhash64("source"), F.lit(PAIR_SPLIT)).cast("int"))
     right = vectors.select("lang", F.col("source").alias("item"), F.col("vec").alias("other"),
                            F.explode(F.sequence(F.lit(0), F.lit(PAIR_SPLIT - 1))).alias("_b"))
