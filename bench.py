@@ -18,6 +18,7 @@ HEADLINE = (
     "segment_entries", "carry_forward", "subgroup_on_change", "nest_orphans_attach", "nested_tree_text",
     "assemble_documents", "sheet_to_entries", "row_conservation", "top_matches", "family_centroids", "feature_row",
     "json_leaves", "validate_documents", "dq_scan", "nearest_entry", "split_entries", "scan_markers", "token_budget",
+    "convert_levels", "unmapped_by_levels",
 )
 
 
