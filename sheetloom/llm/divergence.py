@@ -29,8 +29,9 @@ TOP_TERMS = 10
 
 #: Chunks are cut at the space and these characters: ASCII white space and controls, never part of a term.
 CONTROLS = "".join(map(chr, range(32)))
-#: Chunk forms of terms with several forms, in entries and in characters, sent to every task up to this size.
+#: Chunk forms of terms with several forms, in entries and in characters, sent to every task up to these sizes.
 BROADCAST_FORMS = 4_000_000
+BROADCAST_CHARS = 128_000_000
 #: Tasks over which the pairs of one lang's sources are dealt.
 PAIR_SPLIT = 16
 
@@ -82,7 +83,7 @@ def term_counts(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOC
     once and its terms join back. A term that only one chunk form of its lang holds
     is in as many documents as that chunk; a term with several forms is counted per
     document, by a pass that looks its forms up in a dictionary sent to the tasks when
-    it is under ``BROADCAST_FORMS`` entries and characters, else by a join.
+    it is under ``BROADCAST_FORMS`` entries and ``BROADCAST_CHARS`` characters, else by a join.
     """
     d = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
                     F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
@@ -103,10 +104,11 @@ def term_counts(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOC
     single = forms.where((F.col("n_forms") == 1) & (F.col("d") >= least_docs)).select("lang", "term", F.col("d").alias("n_docs"))
     several = forms.where((F.col("n_forms") > 1) & (F.col("upper") >= least_docs)).select("lang", "chunk", "term")
     size = several.agg(F.count(F.lit(1)), F.sum(F.length("chunk") + F.length("term"))).first()
-    if (size[0] or 0) <= BROADCAST_FORMS and (size[1] or 0) <= BROADCAST_FORMS:
+    if (size[0] or 0) <= BROADCAST_FORMS and (size[1] or 0) <= BROADCAST_CHARS:
         lookup: dict = {}
-        for r in several.collect():
-            lookup.setdefault((r.lang, r.chunk), []).append(r.term)
+        taken = several.toArrow()
+        for lang, chunk, term in zip(*(taken.column(c).to_pylist() for c in ("lang", "chunk", "term"))):
+            lookup.setdefault((lang, chunk), []).append(term)
         held = d.select("lang", "_text").mapInArrow(lambda b: _held_terms(b, lookup), "lang string, term string, n_docs long")
         multi = held.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
     else:

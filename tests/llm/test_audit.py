@@ -82,4 +82,5 @@ def test_op13_terms_of_several_forms_by_join(spark, monkeypatch):
     rows = [("The the, THE. the! other Other", "en", s) for s in ("a", "b")] * 6 + [("the x", "en", "c"), (None, None, None)]
     frame = spark.createDataFrame(rows, "text string, lang string, source string")
     monkeypatch.setattr(divergence, "BROADCAST_FORMS", 0)
+    monkeypatch.setattr(divergence, "BROADCAST_CHARS", 0)
     assert got(divergence.audit(frame, least_docs=3)) == audit(rows, 3)
