@@ -58,6 +58,15 @@ def _first_marks(ordered: Column) -> Column:
     return F.transform(ordered, lambda x, i: F.struct(x.alias("chunk"), F.coalesce(x != F.get(ordered, i - 1), F.lit(True)).alias("first")))
 
 
+def _forms(data: bytes) -> dict:
+    """(lang, chunk) -> terms, from the Arrow stream of the forms."""
+    table = pa.ipc.open_stream(data).read_all()
+    lookup: dict = {}
+    for lang, chunk, term in zip(*(table.column(c).to_pylist() for c in ("lang", "chunk", "term"))):
+        lookup.setdefault((lang, chunk), []).append(term)
+    return lookup
+
+
 def _held_terms(batches: Iterator[pa.RecordBatch], forms: dict) -> Iterator[pa.RecordBatch]:
     """lang, term, n_docs per batch: documents that hold a term through any of its chunk forms."""
     blank = {i: " " for i in range(32)}
@@ -105,11 +114,14 @@ def term_counts(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOC
     several = forms.where((F.col("n_forms") > 1) & (F.col("upper") >= least_docs)).select("lang", "chunk", "term")
     size = several.agg(F.count(F.lit(1)), F.sum(F.length("chunk") + F.length("term"))).first()
     if (size[0] or 0) <= BROADCAST_FORMS and (size[1] or 0) <= BROADCAST_CHARS:
-        lookup: dict = {}
+        # the driver only passes the forms on as Arrow bytes; each task builds its dictionary
+        sink = pa.BufferOutputStream()
         taken = several.toArrow()
-        for lang, chunk, term in zip(*(taken.column(c).to_pylist() for c in ("lang", "chunk", "term"))):
-            lookup.setdefault((lang, chunk), []).append(term)
-        held = d.select("lang", "_text").mapInArrow(lambda b: _held_terms(b, lookup), "lang string, term string, n_docs long")
+        with pa.ipc.new_stream(sink, taken.schema) as out:
+            out.write_table(taken)
+        shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        del taken, sink
+        held = d.select("lang", "_text").mapInArrow(lambda b: _held_terms(b, _forms(shared.value)), "lang string, term string, n_docs long")
         multi = held.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
     else:
         rows = d.select("lang", F.monotonically_increasing_id().alias("_row"), F.explode(F.array_distinct(_chunks(F.col("_text")))).alias("chunk"))
