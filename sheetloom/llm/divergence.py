@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,30 +59,56 @@ def _first_marks(ordered: Column) -> Column:
     return F.transform(ordered, lambda x, i: F.struct(x.alias("chunk"), F.coalesce(x != F.get(ordered, i - 1), F.lit(True)).alias("first")))
 
 
-def _forms(data: bytes) -> dict:
-    """(lang, chunk) -> terms, from the Arrow stream of the forms."""
-    table = pa.ipc.open_stream(data).read_all()
-    lookup: dict = {}
-    for lang, chunk, term in zip(*(table.column(c).to_pylist() for c in ("lang", "chunk", "term"))):
-        lookup.setdefault((lang, chunk), []).append(term)
-    return lookup
+def _forms(data: bytes) -> tuple:
+    """Sorted 128-bit keys of (lang, chunk), the term id of each, and the (lang, term) of each id."""
+    import io
 
+    import numpy as np
 
-def _held_terms(batches: Iterator[pa.RecordBatch], forms: dict) -> Iterator[pa.RecordBatch]:
+    saved = np.load(io.BytesIO(data), allow_pickle=False)
+    return saved["k1"], saved["k2"], saved["term"], saved["lang_of"], saved["term_of"]
+
+
+def _held_terms(batches: Iterator[pa.RecordBatch], forms: tuple) -> Iterator[pa.RecordBatch]:
     """lang, term, n_docs per batch: documents that hold a term through any of its chunk forms."""
-    blank = {i: " " for i in range(32)}
+    import numpy as np
+
+    k1, k2, term, lang_of, term_of = forms
     for batch in in_slices(batches, 1_000):
-        counts: dict = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("_text").to_pylist()):
-            held = set()
-            for chunk in set(text.translate(blank).split(" ")):
-                held.update(forms.get((lang, chunk), ()))
-            for term in held:
-                counts[lang, term] = counts.get((lang, term), 0) + 1
-        if counts:
-            langs, terms = zip(*counts)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.string()),
-                                              pa.array(list(counts.values()), pa.int64())], ["lang", "term", "n_docs"])
+        h1, h2 = batch.column("_h1"), batch.column("_h2")
+        doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(h1).fill_null(0).to_numpy())
+        a1 = h1.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        a2 = h2.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        lo, hi = np.searchsorted(k1, a1, "left"), np.searchsorted(k1, a1, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        who = np.repeat(np.arange(len(a1)), n)
+        ok = k2[at] == a2[who]
+        pairs = np.unique(np.stack([doc[who[ok]], term[at[ok]]]), axis=1) if ok.any() else np.zeros((2, 0), np.int64)
+        ids, counts = np.unique(pairs[1], return_counts=True)
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(lang_of[ids].tolist(), pa.string()), pa.array(term_of[ids].tolist(), pa.string()),
+                                              pa.array(counts.astype(np.int64))], ["lang", "term", "n_docs"])
+
+
+def _pack(several: DataFrame) -> bytes:
+    import io
+
+    import numpy as np
+
+    taken = several.select(F.xxhash64("lang", "chunk").alias("k1"), F.xxhash64("chunk", "lang").alias("k2"),
+                           F.concat_ws("\x00", "lang", "term").alias("lt")).toArrow()
+    coded = taken.column("lt").combine_chunks().dictionary_encode()
+    k1 = taken.column("k1").to_numpy().astype(np.int64)
+    k2 = taken.column("k2").to_numpy().astype(np.int64)
+    term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((k2, k1))
+    names = coded.dictionary.to_pylist()
+    lang_of = np.array([x.split("\x00", 1)[0] for x in names], dtype=object).astype(str) if names else np.zeros(0, str)
+    term_of = np.array([x.split("\x00", 1)[1] for x in names], dtype=object).astype(str) if names else np.zeros(0, str)
+    out = io.BytesIO()
+    np.savez(out, k1=k1[order], k2=k2[order], term=term[order], lang_of=lang_of, term_of=term_of)
+    return out.getvalue()
 
 
 def term_counts(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -114,14 +141,11 @@ def term_counts(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOC
     several = forms.where((F.col("n_forms") > 1) & (F.col("upper") >= least_docs)).select("lang", "chunk", "term")
     size = several.agg(F.count(F.lit(1)), F.sum(F.length("chunk") + F.length("term"))).first()
     if (size[0] or 0) <= BROADCAST_FORMS and (size[1] or 0) <= BROADCAST_CHARS:
-        # the driver only passes the forms on as Arrow bytes; each task builds its dictionary
-        sink = pa.BufferOutputStream()
-        taken = several.toArrow()
-        with pa.ipc.new_stream(sink, taken.schema) as out:
-            out.write_table(taken)
-        shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
-        del taken, sink
-        held = d.select("lang", "_text").mapInArrow(lambda b: _held_terms(b, _forms(shared.value)), "lang string, term string, n_docs long")
+        # sorted arrays, not a dictionary: 128-bit keys of (lang, chunk) and term ids, sent as bytes
+        shared = docs.sparkSession.sparkContext.broadcast(_pack(several))
+        hashed = d.select("lang", F.array_distinct(_chunks(F.col("_text"))).alias("_c"))
+        hashed = hashed.select(F.transform("_c", lambda c: F.xxhash64("lang", c)).alias("_h1"), F.transform("_c", lambda c: F.xxhash64(c, "lang")).alias("_h2"))
+        held = hashed.mapInArrow(lambda b: _held_terms(b, _forms(shared.value)), "lang string, term string, n_docs long")
         multi = held.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
     else:
         rows = d.select("lang", F.monotonically_increasing_id().alias("_row"), F.explode(F.array_distinct(_chunks(F.col("_text")))).alias("chunk"))
