@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 100_000
+BROADCAST_PIECES = 100_000   # (partition, group) counts that may reach every task
 _POSITION_BITS = 33   # monotonically_increasing_id keeps the partition above bit 33
 
 
@@ -43,20 +44,20 @@ def running(df: DataFrame, keys: Sequence[str], order: str,
 
     ``order`` is unique within ``keys``, so a bucket holds at most
     ``bucket_rows`` rows whatever the size of the group.  Rows are shuffled once,
-    by (keys, bucket); the summaries are pre-aggregated before their shuffle and
+    by (keys, bucket), without the values of ``specs``, which are computed where the
+    rows arrive; the summaries are pre-aggregated before their shuffle and
     joined back on the same (keys, bucket), which moves no row again.  A null key
     is an error.
     """
     keys = list(keys)
     at = -F.col(order) if descending else F.col(order)
-    bucket = bucket_of(F.col("_at"), bucket_rows)
+    bucket = bucket_of(at, bucket_rows)
     for k in keys:
         bucket = F.when(F.col(k).isNull(), F.raise_error(F.lit(f"null in key column {k}"))).otherwise(bucket)
-    base = df.withColumn("_at", at).withColumn("_bucket", bucket)
-    for name, spec in specs.items():
-        base = base.withColumn(f"_in_{name}", spec.value)
+    bucketed = df.withColumn("_bucket", bucket)
+    inputs = [at.alias("_at"), *[spec.value.alias(f"_in_{name}") for name, spec in specs.items()]]
 
-    summary = base.groupBy(*keys, "_bucket").agg(*[
+    summary = bucketed.select("*", *inputs).groupBy(*keys, "_bucket").agg(*[
         F.sum(f"_in_{n}").alias(f"_sum_{n}") if isinstance(s, Total)
         else F.max_by(F.struct(F.col(f"_in_{n}").alias("v")),
                       F.when(F.col(f"_in_{n}").isNotNull(), F.col("_at"))).alias(f"_sum_{n}")
@@ -71,7 +72,8 @@ def running(df: DataFrame, keys: Sequence[str], order: str,
     within = Window.partitionBy(*keys, "_bucket").orderBy("_at")
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     preceding = within.rowsBetween(Window.unboundedPreceding, -1)
-    local = base.select(*df.columns, "_bucket", *[
+    moved = bucketed.repartition(*[F.col(k) for k in keys], F.col("_bucket"))
+    local = moved.select("*", *inputs).select(*df.columns, "_bucket", *[
         F.sum(f"_in_{n}").over(upto).alias(f"_local_{n}") if isinstance(s, Total)
         else F.last(f"_in_{n}", ignorenulls=True)
               .over(upto if s.inclusive else preceding).alias(f"_local_{n}")
@@ -104,12 +106,15 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
                 .sortWithinPartitions(*sort_cols, "_copy").drop("_copy")
                 .withColumn("_mid", F.monotonically_increasing_id()))
     rows = stage(numbered).withColumn("_part", F.shiftright("_mid", _POSITION_BITS))
-    pieces = rows.groupBy(*keys, "_part").agg(F.min("_mid").alias("_first"),
-                                              F.count(F.lit(1)).alias("_n"))
+    pieces = stage(rows.groupBy(*keys, "_part").agg(F.min("_mid").alias("_first"),
+                                                    F.count(F.lit(1)).alias("_n")))
     earlier = (Window.partitionBy(*keys).orderBy("_part")
                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = pieces.select(*keys, "_part", (
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    if pieces.count() <= BROADCAST_PIECES:
+        # few offsets go to the rows, which then do not move again
+        offsets = F.broadcast(offsets)
     same = F.col("r._part") == F.col("o._part")
     for k in keys:
         same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}"))
