@@ -201,9 +201,10 @@ def conservation(df: DataFrame, boundary: Column, blank: Column, section: Column
 
 def unmapped_cells(cells: DataFrame, lineage: DataFrame) -> DataFrame:
     """Populated source cells that no output mentions: ``lineage`` holds the
-    ``(table_id, row_idx, col_idx)`` that were emitted."""
+    ``(table_id, row_idx, col_idx)`` that were emitted.  Both grow with the cells, so
+    neither is sent whole to the driver and the tasks, whatever a plan's estimate says."""
     return (cells.filter(~T.is_blank_text(F.col("value")))
-            .join(lineage, [TABLE, ROW, "col_idx"], "left_anti"))
+            .join(lineage.select(TABLE, ROW, "col_idx").hint("merge"), [TABLE, ROW, "col_idx"], "left_anti"))
 
 
 def hierarchy_counts(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:

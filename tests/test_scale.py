@@ -46,3 +46,11 @@ def test_running_computes_its_values_after_the_shuffle(spark):
     assert moved and all("_in_w" not in p.split("Project")[0] for p in moved)
     got = {r.row_idx: r.w for r in out.collect()}
     assert got == {i + 1: i - i % 7 for i in range(300)}
+
+
+def test_unmapped_cells_are_not_broadcast(spark):
+    cells = spark.createDataFrame([("t", r, c, "x") for r in range(4) for c in range(3)], "table_id string, row_idx long, col_idx int, value string")
+    held = cells.filter("col_idx = 1 or row_idx = 2").select("table_id", "row_idx", "col_idx")
+    out = S.unmapped_cells(cells, held)
+    assert "BroadcastHashJoin" not in plan(out)
+    assert sorted((r.row_idx, r.col_idx) for r in out.collect()) == [(r, c) for r in (0, 1, 3) for c in (0, 2)]
