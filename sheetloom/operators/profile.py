@@ -180,9 +180,12 @@ def null_runs(grid: DataFrame, min_rows: int = 2) -> DataFrame:
 def monotonic_columns(cells: DataFrame) -> DataFrame:
     """Per column: number of whole-number values that do not exceed the one before."""
     ints = cells.select(*COLUMN, ROW, F.when(F.col("cell_type") == "int", F.col("value").try_cast("decimal(38,0)")).alias("v"))
-    seen = running(ints, list(COLUMN), ROW, {"before": Last(F.col("v"), inclusive=False)})
-    return seen.groupBy(*COLUMN).agg(F.count_if(F.col("v") <= F.col("before")).alias("breaks"),
-                                     F.count("v").alias("ints"))
+    counts = ints.groupBy(*COLUMN).agg(F.count("v").alias("ints"))
+    # other cells change no running value, so only numbers move; a null key is an error there
+    numbers = ints.filter(F.col("v").isNotNull() | F.col(COLUMN[0]).isNull() | F.col(COLUMN[1]).isNull())
+    seen = running(numbers, list(COLUMN), ROW, {"before": Last(F.col("v"), inclusive=False)})
+    breaks = seen.groupBy(*COLUMN).agg(F.count_if(F.col("v") <= F.col("before")).alias("breaks"))
+    return counts.join(breaks, list(COLUMN), "left").select(*COLUMN, F.coalesce("breaks", F.lit(0).cast("bigint")).alias("breaks"), "ints")
 
 
 def suggest_boundary(prof: DataFrame, monotonic: DataFrame) -> DataFrame:

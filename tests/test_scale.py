@@ -54,3 +54,12 @@ def test_unmapped_cells_are_not_broadcast(spark):
     out = S.unmapped_cells(cells, held)
     assert "BroadcastHashJoin" not in plan(out)
     assert sorted((r.row_idx, r.col_idx) for r in out.collect()) == [(r, c) for r in (0, 1, 3) for c in (0, 2)]
+
+
+def test_monotonic_columns_move_numbers_only(spark):
+    rows = [("t", i, c, v, k) for i in range(1, 6) for c, v, k in ((0, str(i % 4), "int"), (1, "x", "str"), (2, None, None))]
+    cells = spark.createDataFrame(rows, "table_id string, row_idx long, col_idx int, value string, cell_type string")
+    out = P.monotonic_columns(cells)
+    moved = plan(out).split("REPARTITION_BY_COL")[1:]
+    assert moved and all("Filter" in p for p in moved)
+    assert sorted(map(tuple, out.collect())) == [(t, c, b, n) for t, c, b, n in [("t", 0, 1, 5), ("t", 1, 0, 0), ("t", 2, 0, 0)]]
