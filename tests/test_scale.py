@@ -63,3 +63,9 @@ def test_monotonic_columns_move_numbers_only(spark):
     moved = plan(out).split("REPARTITION_BY_COL")[1:]
     assert moved and all("Filter" in p for p in moved)
     assert sorted(map(tuple, out.collect())) == [(t, c, b, n) for t, c, b, n in [("t", 0, 1, 5), ("t", 1, 0, 0), ("t", 2, 0, 0)]]
+
+
+def test_tasks_of_a_small_file_with_many_rows_stay_short(spark, tmp_path):
+    spark.range(10 * fixtures.SPREAD_ROWS).coalesce(1).write.parquet(str(tmp_path / "t"))
+    out = fixtures.spread(spark.read.parquet(str(tmp_path / "t")))
+    assert out.rdd.getNumPartitions() >= 10

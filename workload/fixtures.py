@@ -20,13 +20,18 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+SPREAD_ROWS = 20_000   # rows of a task
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for row-local work on a table that is one small file.
+    """Use all cores for row-local work on a table that is one small file, and more,
+    shorter tasks where it is large: a file of few bytes may hold many rows.
 
     A table of many splits has partitions enough and stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = max(cores, -(-df.count() // SPREAD_ROWS))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 # ---- SQL helpers --------------------------------------------------------------
