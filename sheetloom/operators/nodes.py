@@ -39,22 +39,24 @@ def nodes(docs: DataFrame, doc: str = "doc", ids: Sequence[str] = ("doc_id",),
     ``rule_path`` (the same with ``*`` for positions), ``parent_path``, ``depth``,
     ``pos`` (array elements only), ``kind``, ``n_children``, the VARIANT ``v`` and
     ``mixed``: whether the document has both an empty string and a null.
-    Levels unfold as arrays beside the row and explode once at the end.  A document
+    Levels unfold as one array inside the row and explode once at the end.  A document
     nested deeper than ``max_depth`` is an error, not a cut.
     """
     ids = list(ids)
     root = ("array(named_struct('path', '', 'rule_path', '', 'parent_path', cast(null as string), "
             f"'depth', 0L, 'pos', cast(null as bigint), 'v', {doc}))")
-    cur = docs.filter(F.col(doc).isNotNull()).selectExpr(*ids, f"{_OPENED.format(level=root)} as _open")
-    done: list[str] = []
-    for d in range(max_depth):
-        members = _OPENED.format(level=_MEMBERS.format(level="_open"))
-        cur = cur.selectExpr(*ids, *done, f"{_CLOSED.format(level='_open')} as _l{d}", f"{members} as _open")
-        done.append(f"_l{d}")
-    too_deep = "exists(_open, n -> coalesce(size(n.m), 0) > 0 or coalesce(size(n.a), 0) > 0)"
+    cur = docs.filter(F.col(doc).isNotNull()).selectExpr(*ids, f"{_OPENED.format(level=root)} as _root")
+    # all levels in one expression: a column per level is copied with the row by every later one
+    members = _OPENED.format(level=_MEMBERS.format(level="acc.open"))
+    closed = _CLOSED.format(level="acc.open")
+    none = f"filter({_CLOSED.format(level='_root')}, n -> false)"
+    walk = (f"aggregate(sequence(1, {max_depth}), named_struct('done', {none}, 'open', _root), (acc, step) -> if(size(acc.open) = 0, acc, "
+            f"named_struct('done', concat(acc.done, {closed}), 'open', {members})))")
+    cur = cur.selectExpr(*ids, f"{walk} as _walk")
+    too_deep = "exists(_walk.open, n -> coalesce(size(n.m), 0) > 0 or coalesce(size(n.a), 0) > 0)"
     last = (f"if({too_deep}, raise_error('document nested deeper than max_depth={max_depth}'), "
-            f"{_CLOSED.format(level='_open')})")
-    cur = cur.selectExpr(*ids, f"concat({', '.join(done)}, {last}) as _all")
+            f"{_CLOSED.format(level='_walk.open')})")
+    cur = cur.selectExpr(*ids, f"concat(_walk.done, {last}) as _all")
     mixed = ("exists(_all, n -> n.box is null and (n.v is null or is_variant_null(n.v))) "
              "and exists(_all, n -> n.box is null and coalesce(try_variant_get(n.v, '$', 'string') = '', false))")
     # outer, here and wherever a computed array is unfolded: for the inner form the

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expectations as X
 from .nodes import MAX_DEPTH, value_text
+from .staging import stage
 
 # Schema keywords that are tested, and those that only annotate.
 TESTED = {"type", "required", "additionalProperties", "properties", "items", "$ref", "enum", "const",
@@ -213,9 +214,10 @@ def infer_schema(tree: DataFrame, ids: Sequence[str] = ("doc_id",), max_enum: in
     text = F.when(kind == "string", F.col("v").cast("string"))
     rows = tree.select("rule_path", up.alias("up"), "kind", text.alias("text"), "n_children",
                        F.when(kind.isin("integer", "number"), F.to_json("v").try_cast("double")).alias("num"))
-    # values are counted before they meet in one group per path
-    values = rows.groupBy("rule_path", "up", "kind", "text").agg(
-        F.count(F.lit(1)).alias("n"), F.min("num").alias("num"), F.min("n_children").alias("children"))
+    # values are counted before they meet in one group per path, and written, so that the
+    # documents are walked once
+    values = stage(rows.groupBy("rule_path", "up", "kind", "text").agg(
+        F.count(F.lit(1)).alias("n"), F.min("num").alias("num"), F.min("n_children").alias("children")))
     per = values.groupBy("rule_path", "up").agg(
         F.sum("n").alias("n"), F.array_sort(F.collect_set("kind")).alias("types"),
         F.count("text").alias("distinct_n"), F.min(F.length("text")).alias("min_length"),

@@ -69,3 +69,20 @@ def test_tasks_of_a_small_file_with_many_rows_stay_short(spark, tmp_path):
     spark.range(10 * fixtures.SPREAD_ROWS).coalesce(1).write.parquet(str(tmp_path / "t"))
     out = fixtures.spread(spark.read.parquet(str(tmp_path / "t")))
     assert out.rdd.getNumPartitions() >= 10
+
+
+def test_schema_is_inferred_from_one_walk(spark):
+    docs = D.parse_documents(spark.range(20).selectExpr("id as doc_id", """concat('{"a":', id, ',"b":["x"]}') as text"""))
+    out = V.infer_schema(ND.nodes(docs))
+    assert "parse_json" not in plan(out)
+    assert {r.rule_path: r.n for r in out.collect()} == {"": 20, "/a": 20, "/b": 20, "/b/*": 20}
+
+
+def test_walk_needs_one_array_beside_the_row(spark):
+    text = '{"a":[{"b":[1,null,{"c":""}]},"x"]}'
+    tree = ND.nodes(D.parse_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+    assert "_l0" not in plan(tree)
+    assert {(r.path, r.depth, r.kind, r.mixed) for r in tree.collect()} == {
+        ("", 0, "object", True), ("/a", 1, "array", True), ("/a/0", 2, "object", True), ("/a/1", 2, "string", True),
+        ("/a/0/b", 3, "array", True), ("/a/0/b/0", 4, "integer", True), ("/a/0/b/1", 4, "null", True),
+        ("/a/0/b/2", 4, "object", True), ("/a/0/b/2/c", 5, "string", True)}
