@@ -86,3 +86,11 @@ def test_walk_needs_one_array_beside_the_row(spark):
         ("", 0, "object", True), ("/a", 1, "array", True), ("/a/0", 2, "object", True), ("/a/1", 2, "string", True),
         ("/a/0/b", 3, "array", True), ("/a/0/b/0", 4, "integer", True), ("/a/0/b/1", 4, "null", True),
         ("/a/0/b/2", 4, "object", True), ("/a/0/b/2/c", 5, "string", True)}
+
+
+def test_profile_counts_cells_once(spark):
+    cells = spark.range(50).selectExpr("'t' as table_id", "id + 1 as row_idx", "0 as col_idx", "'h' as header", "cast(id % 4 as string) as value", "'int' as cell_type")
+    out = P.profile(cells)
+    assert "Range (" not in plan(out)
+    row = out.collect()[0]
+    assert (row["rows"], row.distinct_n, row.top_values[0]["count"]) == (50, 4, 13)
