@@ -1,9 +1,10 @@
 """Source divergence audit by chunk factorization.
 
-Texts are cut at white space into chunks, counted per document; every distinct chunk
-of the corpus is tokenized once, and its terms are joined back to the groups that
-hold it. From the term counts of each (lang, source) group and of each lang, smoothed
-parts per billion are compared term by term.
+Texts are cut at white space into chunks. A task numbers the chunks of its rows, so that
+every distinct chunk is tokenized once and is from then on the numbers of its terms; term
+occurrences and the documents that hold a term are counted per (lang, source) on these
+numbers, and only the counts are shuffled. From the term counts of each (lang, source)
+group and of each lang, smoothed parts per billion are compared term by term.
 
 Nulls: a null text, lang or source is read as ''. A document is a row: repeated rows
 count as several documents. An empty table gives no rows; a group whose texts hold no
@@ -14,34 +15,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_slices, stage
 
 # fixed values of the contract: the term pattern, the smoothing and the report sizes
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
 
-#: Chunks are cut at the space and these characters: ASCII white space and controls, never part of a term.
-CONTROLS = "".join(map(chr, range(32)))
-#: Chunk forms of terms with several forms, in entries and in characters, sent to every task up to these sizes.
-BROADCAST_FORMS = 4_000_000
-BROADCAST_CHARS = 128_000_000
+#: Bytes of a text outside terms become spaces, and A-Z lower-cased; UTF-8 beyond ASCII is part of a term.
+_TERM_BYTES = bytes(ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b if chr(b) in LOWER or b > 127 else 32 for b in range(256))
+#: Distinct chunk forms, and bytes of text, that a task holds before it hands its counts over.
+BROADCAST_FORMS = 400_000
+BROADCAST_CHARS = 8_000_000
 #: Tasks over which the pairs of one lang's sources are dealt.
 PAIR_SPLIT = 16
 
 
-def _chunks(text: Column) -> Column:
-    """Chunks of the text: controls become spaces, so that splitting takes one character."""
-    return F.filter(F.split(F.translate(text, CONTROLS, " " * len(CONTROLS)), " "), lambda c: c != "")
-
-
 def _ppb(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(SCALE * (count + 2) / (total + 2 kept)), exact: the quotient is at most SCALE."""
     num = (count + 2).cast("decimal(38,0)") * F.lit(SCALE).cast("decimal(38,0)")
@@ -54,103 +49,66 @@ def _gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def _first_marks(ordered: Column) -> Column:
-    """Sorted chunks (a column, so that it is sorted once), each marked when it is the first of equal ones."""
-    return F.transform(ordered, lambda x, i: F.struct(x.alias("chunk"), F.coalesce(x != F.get(ordered, i - 1), F.lit(True)).alias("first")))
-
-
-def _forms(data: bytes) -> tuple:
-    """Sorted 128-bit keys of (lang, chunk), the term id of each, and the (lang, term) of each id."""
-    import io
-
-    import numpy as np
-
-    saved = np.load(io.BytesIO(data), allow_pickle=False)
-    return saved["k1"], saved["k2"], saved["term"], saved["lang_of"], saved["term_of"]
-
-
-def _held_terms(batches: Iterator[pa.RecordBatch], forms: tuple) -> Iterator[pa.RecordBatch]:
-    """lang, term, n_docs per batch: documents that hold a term through any of its chunk forms."""
-    import numpy as np
-
-    k1, k2, term, lang_of, term_of = forms
-    for batch in in_slices(batches, 1_000):
-        h1, h2 = batch.column("_h1"), batch.column("_h2")
-        doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(h1).fill_null(0).to_numpy())
-        a1 = h1.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        a2 = h2.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        lo, hi = np.searchsorted(k1, a1, "left"), np.searchsorted(k1, a1, "right")
-        n = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        who = np.repeat(np.arange(len(a1)), n)
-        ok = k2[at] == a2[who]
-        pairs = np.unique(np.stack([doc[who[ok]], term[at[ok]]]), axis=1) if ok.any() else np.zeros((2, 0), np.int64)
-        ids, counts = np.unique(pairs[1], return_counts=True)
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(lang_of[ids].tolist(), pa.string()), pa.array(term_of[ids].tolist(), pa.string()),
-                                              pa.array(counts.astype(np.int64))], ["lang", "term", "n_docs"])
-
-
-def _pack(several: DataFrame) -> bytes:
-    import io
-
-    import numpy as np
-
-    taken = several.select(F.xxhash64("lang", "chunk").alias("k1"), F.xxhash64("chunk", "lang").alias("k2"),
-                           F.concat_ws("\x00", "lang", "term").alias("lt")).toArrow()
-    coded = taken.column("lt").combine_chunks().dictionary_encode()
-    k1 = taken.column("k1").to_numpy().astype(np.int64)
-    k2 = taken.column("k2").to_numpy().astype(np.int64)
-    term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.lexsort((k2, k1))
-    names = coded.dictionary.to_pylist()
-    lang_of = np.array([x.split("\x00", 1)[0] for x in names], dtype=object).astype(str) if names else np.zeros(0, str)
-    term_of = np.array([x.split("\x00", 1)[1] for x in names], dtype=object).astype(str) if names else np.zeros(0, str)
-    out = io.BytesIO()
-    np.savez(out, k1=k1[order], k2=k2[order], term=term[order], lang_of=lang_of, term_of=term_of)
-    return out.getvalue()
-
-
-def term_counts(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, count) of every term occurrence and (lang, term, n_docs) of terms that can be kept.
-
-    Chunks are counted per (lang, source, chunk) with the number of documents that
-    hold them, pre-aggregated before the shuffle. Each distinct chunk is tokenized
-    once and its terms join back. A term that only one chunk form of its lang holds
-    is in as many documents as that chunk; a term with several forms is counted per
-    document, by a pass that looks its forms up in a dictionary sent to the tasks when
-    it is under ``BROADCAST_FORMS`` entries and ``BROADCAST_CHARS`` characters, else by a join.
+class _Numbers(dict):
+    """Numbers of keys in the order in which they are first met."""
+
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        return n
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, count, n_docs of every stretch of rows that a task holds at once."""
+    chunks, groups = _Numbers(), _Numbers()
+    held: list = []                     # chunk numbers of each row, with the number of its group
+    size = 0
+
+    def done() -> pa.RecordBatch:
+        terms = _Numbers()
+        found = [[terms[t] for t in chunk.translate(_TERM_BYTES).split()] for chunk in chunks]        # each chunk once
+        many = np.array([len(f) for f in found], np.int64)
+        begin = np.cumsum(many) - many
+        flat = np.array([t for f in found for t in f], np.int64)
+        of = np.concatenate([c for c, _ in held])
+        row = np.repeat(np.arange(len(held)), [len(c) for c, _ in held])
+        n = many[of]
+        term = flat[np.repeat(begin[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        # occurrences by row and term, then by group and term
+        key, count = np.unique(np.repeat(row, n) * max(len(terms), 1) + term, return_counts=True)
+        row, term = np.divmod(key, max(len(terms), 1))
+        key, to = np.unique(np.array([g for _, g in held])[row] * max(len(terms), 1) + term, return_inverse=True)
+        group, term = np.divmod(key, max(len(terms), 1))
+        names, words = list(groups), pa.array(list(terms), pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([
+            pa.array([x for x, _ in names], pa.string()).take(pa.array(group)), pa.array([x for _, x in names], pa.string()).take(pa.array(group)),
+            words.take(pa.array(term)), pa.array(np.bincount(to, count, len(key)).astype(np.int64)), pa.array(np.bincount(to, minlength=len(key)))],
+            names=["lang", "source", "term", "count", "n_docs"])
+
+    for batch in in_slices(batches):
+        for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            own = text.encode().split()
+            held.append((np.fromiter(map(chunks.__getitem__, own), np.int64, len(own)), groups[lang, source]))
+            size += len(text)
+            if len(chunks) > BROADCAST_FORMS or size > BROADCAST_CHARS:
+                yield done()
+                chunks, groups, held, size = _Numbers(), _Numbers(), [], 0
+    if held:
+        yield done()
+
+
+def term_counts(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang, source, term, count) of the terms that at least ``least_docs`` documents of their lang hold.
+
+    Tasks hand over the counts of ``BROADCAST_FORMS`` chunk forms or ``BROADCAST_CHARS``
+    characters of text at a time; they are summed after one shuffle by (lang, term).
     """
     d = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
                     F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
                     F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
-    sorted_chunks = d.select("lang", "source", F.array_sort(_chunks(F.col("_text"))).alias("_sorted"))
-    per_group = stage(sorted_chunks.select("lang", "source", F.explode(_first_marks(F.col("_sorted"))).alias("x"))
-                      .groupBy("lang", "source", F.col("x.chunk").alias("chunk"))
-                      .agg(F.count(F.lit(1)).alias("c"), F.count_if("x.first").alias("d")))
-    vocab = stage(per_group.select("chunk").distinct()
-                  .select("chunk", F.transform(F.regexp_extract_all("chunk", F.lit(TERM), 0), lambda t: F.translate(t, UPPER, LOWER)).alias("terms"))
-                  .where(F.size("terms") > 0))
-    joined = per_group.join(vocab, "chunk").select("lang", "source", "chunk", "c", "d", F.explode("terms").alias("term"))
-    occ = joined.groupBy("lang", "source", "term").agg(F.sum("c").alias("count"))
-    forms = stage(joined.select("lang", "source", "chunk", "term", "d").distinct()
-                  .groupBy("lang", "term", "chunk").agg(F.sum("d").alias("d"))
-                  .withColumn("n_forms", F.count(F.lit(1)).over(Window.partitionBy("lang", "term")))
-                  .withColumn("upper", F.sum("d").over(Window.partitionBy("lang", "term"))))
-    single = forms.where((F.col("n_forms") == 1) & (F.col("d") >= least_docs)).select("lang", "term", F.col("d").alias("n_docs"))
-    several = forms.where((F.col("n_forms") > 1) & (F.col("upper") >= least_docs)).select("lang", "chunk", "term")
-    size = several.agg(F.count(F.lit(1)), F.sum(F.length("chunk") + F.length("term"))).first()
-    if (size[0] or 0) <= BROADCAST_FORMS and (size[1] or 0) <= BROADCAST_CHARS:
-        # sorted arrays, not a dictionary: 128-bit keys of (lang, chunk) and term ids, sent as bytes
-        shared = docs.sparkSession.sparkContext.broadcast(_pack(several))
-        hashed = d.select("lang", F.array_distinct(_chunks(F.col("_text"))).alias("_c"))
-        hashed = hashed.select(F.transform("_c", lambda c: F.xxhash64("lang", c)).alias("_h1"), F.transform("_c", lambda c: F.xxhash64(c, "lang")).alias("_h2"))
-        held = hashed.mapInArrow(lambda b: _held_terms(b, _forms(shared.value)), "lang string, term string, n_docs long")
-        multi = held.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
-    else:
-        rows = d.select("lang", F.monotonically_increasing_id().alias("_row"), F.explode(F.array_distinct(_chunks(F.col("_text")))).alias("chunk"))
-        multi = rows.join(several, ["lang", "chunk"]).groupBy("lang", "term").agg(F.count_distinct("_row").alias("n_docs"))
-    return occ, single.unionByName(multi)
+    counted = (d.mapInArrow(_count_terms, "lang string, source string, term string, count long, n_docs long").repartition("lang", "term")
+               .groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("n_docs").alias("n_docs")))
+    held = F.sum("n_docs").over(Window.partitionBy("lang", "term"))
+    return counted.withColumn("held", held).where(F.col("held") >= least_docs).select("lang", "source", "term", "count")
 
 
 def audit(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
@@ -165,12 +123,11 @@ def audit(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, top
     Ranks start at 1 per group and part: value descending, item ascending in UTF-8
     byte order. Only (lang, source) groups give rows; the lang's p is the q of ``term``.
     """
-    occ, held = term_counts(docs, text, least_docs)
+    counts = stage(term_counts(docs, text, least_docs))
     groups = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
                          F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).distinct()
-    kept = stage(held.where(F.col("n_docs") >= least_docs).select("lang", "term"))
+    kept = counts.select("lang", "term").distinct()
     width = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    counts = stage(occ.join(kept, ["lang", "term"]))
     sizes = (groups.join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left")
              .join(width, "lang", "left")
              .select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v")))

@@ -84,3 +84,17 @@ def test_op13_terms_of_several_forms_by_join(spark, monkeypatch):
     monkeypatch.setattr(divergence, "BROADCAST_FORMS", 0)
     monkeypatch.setattr(divergence, "BROADCAST_CHARS", 0)
     assert got(divergence.audit(frame, least_docs=3)) == audit(rows, 3)
+
+
+def test_op13_counts_terms_after_one_shuffle(spark):
+    # terms in many chunk forms reach the shuffle as counts, one row a group and term, not as chunks
+    rows = [("The the, THE. (the)\x01the!", "en", "a"), ("the-end", "en", "a"), ("the", "en", "b"), (None, "en", "b"), ("the", None, "b")]
+    frame = spark.createDataFrame(rows, "text string, lang string, source string")
+    counted = divergence.term_counts(frame, least_docs=3)
+    assert sorted((r.lang, r.source, r.term, r["count"]) for r in counted.collect()) == [("en", "a", "the", 6), ("en", "b", "the", 1)]
+    plan = counted._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "regexp" not in plan
+    sent = frame.select("lang", "source", "text").na.fill("").coalesce(1).mapInArrow(
+        divergence._count_terms, "lang string, source string, term string, count long, n_docs long")
+    assert {(r.lang, r.source, r.term, r["count"], r.n_docs) for r in sent.collect()} == {
+        ("en", "a", "the", 6, 2), ("en", "a", "end", 1, 1), ("en", "b", "the", 1, 1), ("", "b", "the", 1, 1)}
