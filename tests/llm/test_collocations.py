@@ -83,3 +83,29 @@ def test_op11_without_broadcast_sets(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "text string, lang string")
     monkeypatch.setattr(collocations, "BROADCAST_KEYS", 0)
     assert got(collocations.collocations(frame)) == mine(rows)
+
+
+def test_phrases_of_a_slice_are_counted_before_they_are_sent(spark, monkeypatch):
+    # words and phrases leave a slice once with their count, whatever the number of texts (256 before); pieces stay apart
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    texts = ["Ab c. c\tÄb\x0bab  c"] * 600 + ["", "."]
+    batch = pa.RecordBatch.from_pydict({"lang": ["x"] * len(texts), "_text": texts})
+    words = collocations._word_counts(iter([batch]))
+    assert [{r["phrase"]: r["count"] for r in b.to_pylist()} for b in words] == [{"ab": 1200, "c": 1800, "Äb": 600}]
+    phrases = [r for b in collocations._phrases(iter([batch]), None, None, collocations.BASES) for r in b.to_pylist()]
+    assert sorted((r["n"], r["phrase"], r["count"]) for r in phrases) == [(2, "ab c", 1200), (2, "c Äb", 600)]
+    # numbers start again and slices end after few words: the same counts
+    monkeypatch.setattr(collocations, "HELD_WORDS", 1)
+    monkeypatch.setattr(collocations, "SLICE_WORDS", 2)
+    short = [r for b in collocations._phrases(iter([batch]), None, None, collocations.BASES) for r in b.to_pylist()]
+    total = Counter()
+    for r in short:
+        total[r["n"], r["phrase"]] += r["count"]
+    assert total == {(2, "ab c"): 1200, (2, "c Äb"): 600}
+    # the words that Spark's hash tells as frequent are those of the tasks' hash
+    samples = ["a", "abcd", "abcdefgh", "äöü ß", "x" * 31, "x" * 32, "long " * 30, ""]
+    rows = spark.createDataFrame([(t,) for t in samples], "t string").select("t", F.xxhash64("t").alias("h")).collect()
+    vocabulary = collocations._Vocabulary()
+    assert all(vocabulary.hashes[vocabulary[r.t.encode()]] == r.h % 2**64 for r in rows)
