@@ -7,7 +7,8 @@ least once.  The index is a pair of bit tables of fixed size, one of all blocks
 one of blocks that occur more than once (a block must not meet itself); they only
 say where to look and never decide.  A hit is extended to all 20-word windows around
 it; these are compared by hash over all documents, and runs of windows that start
-earlier elsewhere make up the maximal repeats, which are removed.
+earlier elsewhere make up the maximal repeats, which are removed.  Rows are hashed and
+probed many at a time, and a window that starts earlier in its own row is known there.
 """
 from __future__ import annotations
 
@@ -28,6 +29,7 @@ BLOCK = 10               # a window of 2 * BLOCK - 1 words or more holds a whole
 SLICE_BITS = 12          # the bit tables are built in 4,096 slices by the top bits of the hash
 WIDE, NARROW = 16, 13    # bits of a slice: 32 MB for all blocks, 4 MB for repeated ones, whatever the input
 _PROBES = 3
+STRETCH_WORDS = 200_000  # words that are probed at once (and the last text's)
 
 
 def _bits(h: np.ndarray, width: int, probe: int) -> np.ndarray:
@@ -70,21 +72,20 @@ def _own_blocks(words: np.ndarray) -> np.ndarray:
     return mix(h[::2] * _TURN + h[1::2])
 
 
-def _repeated_here(windows: np.ndarray) -> np.ndarray | None:
-    """Marks windows that also start earlier in the same row; None if there are none."""
-    s = np.sort(windows)
-    if not (s[1:] == s[:-1]).any():
-        return None
-    later = np.ones(len(windows), bool)
-    later[np.unique(windows, return_index=True)[1]] = False
-    return later
+def _again(rows: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Marks windows that also stand earlier, in the same row, in arrays that ascend by row and place."""
+    order = np.lexsort((windows, rows))
+    out = np.zeros(len(rows), bool)
+    a, b = order[1:], order[:-1]
+    out[a] = (rows[a] == rows[b]) & (windows[a] == windows[b])
+    return out
 
 
 def _reference_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches, 5_000):
-        found = [_own_blocks(word_hashes(t, False)) for t in batch.column(0).to_pylist()]
-        # a block that many documents share leaves a batch once, marked as repeated
-        h, counts = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
+        words = [word_hashes(t, False) for t in batch.column(0).to_pylist()]
+        # whole blocks alone, so that the next text begins at one; a block that many documents share leaves a batch once, marked as repeated
+        h, counts = np.unique(_own_blocks(np.concatenate([w[:len(w) // BLOCK * BLOCK] for w in words])), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - SLICE_BITS)).astype(np.int32)), pa.array(h.view(np.int64)),
                                           pa.array(counts > 1)], names=["_slice", "_h", "_twice"])
 
@@ -118,6 +119,52 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _probe(batches: Iterator[pa.RecordBatch], blocks_of: np.ndarray, repeated: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows around hits, of (row, order, text); one that starts earlier in its row has the start -1 - start, and a hash of its place."""
+    rows, orders, texts, size = [], [], [], 0
+
+    def done() -> pa.RecordBatch | None:
+        words = np.concatenate(texts)
+        sizes = np.array([len(t) for t in texts])
+        blocks, windows = _halves(words)
+        if not len(windows):
+            return None
+        row = np.repeat(np.arange(len(texts)), sizes)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = np.repeat(sizes, sizes) - place             # words from here to the end of the text
+        whole_block = (left >= BLOCK)[:len(blocks)] & (sizes[row[:len(blocks)]] >= WINDOW)
+        own = place[:len(blocks)] % BLOCK == 0
+        hits = np.zeros(len(blocks), bool)
+        for which, table, width in ((whole_block & ~own, blocks_of, WIDE), (whole_block & own, repeated, NARROW)):
+            at = np.flatnonzero(which)
+            hits[at] = _test(table, blocks[at], width)
+        seen = np.concatenate([[0], np.cumsum(hits)])
+        found = np.flatnonzero((seen[BLOCK + 1:] > seen[:-BLOCK - 1]) & (left >= WINDOW)[:len(windows)])
+        if not len(found):
+            return None
+        h, start, of = windows[found], place[found], np.array(rows, np.int64)[row[found]]
+        again = _again(row[found], h)
+        h[again] = mix(of[again].view(np.uint64) * _TURN + start[again].astype(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(orders, np.int64)[row[found]]), pa.array(of),
+                                           pa.array(np.where(again, -1 - start, start).astype(np.int32))], names=["_h", "_order", "_row", "_start"])
+
+    for batch in in_slices(batches):
+        for row, order, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            rows.append(row)
+            orders.append(order)
+            texts.append(word_hashes(t, False))
+            size += len(texts[-1])
+            if size > STRETCH_WORDS:
+                out = done()
+                if out is not None:
+                    yield out
+                rows, orders, texts, size = [], [], [], 0
+    if rows:
+        out = done()
+        if out is not None:
+            yield out
+
+
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
@@ -146,36 +193,13 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     index = df.sparkSession.sparkContext.broadcast((every.reshape(-1), repeated.reshape(-1)))
 
     def probe(batches):
-        blocks_of, again = index.value
-        for batch in in_slices(batches):
-            hashes, orders, rows, starts = [], [], [], []
-            for row, at, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                blocks, windows = _halves(word_hashes(t, False))
-                if not len(windows):
-                    continue
-                hits = _test(blocks_of, blocks, WIDE)
-                own = np.arange(0, len(blocks), BLOCK)
-                hits[own] = _test(again, blocks[own], NARROW)
-                seen = np.concatenate([[0], np.cumsum(hits)])
-                found = np.flatnonzero(seen[BLOCK + 1:] > seen[:-BLOCK - 1])
-                if len(found):
-                    later = _repeated_here(windows[found])
-                    if later is not None:
-                        found = found[~later]           # that they repeat is known where the text is
-                    hashes.append(windows[found])
-                    orders.append(np.full(len(found), at))
-                    rows.append(np.full(len(found), row))
-                    starts.append(found.astype(np.int32))
-            if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(orders)),
-                                                  pa.array(np.concatenate(rows)), pa.array(np.concatenate(starts))],
-                                                 names=["_h", "_order", "_row", "_start"])
+        return _probe(batches, *index.value)
 
     windows = docs.select("_row", order.alias("_order"), "_text").mapInArrow(probe, "_h long, _order long, _row long, _start int")
-    firsts = stage(windows.groupBy("_h").agg(F.min("_order").alias("_first"), F.max("_order").alias("_last"))
+    firsts = stage(windows.filter("_start >= 0").groupBy("_h").agg(F.min("_order").alias("_first"), F.max("_order").alias("_last"))
                    .filter("_first < _last").select("_h", "_first"))
-    later = windows.join(firsts, "_h").filter("_order > _first").select(
-        "_row", "_start", F.lit(None).cast(id_type).alias("_id"), F.lit(None).cast("binary").alias("_z"))
+    later = windows.join(firsts, "_h", "left").filter("_start < 0 or _order > _first").select(
+        "_row", F.when(F.col("_start") < 0, -1 - F.col("_start")).otherwise(F.col("_start")).cast("int").alias("_start"), F.lit(None).cast(id_type).alias("_id"), F.lit(None).cast("binary").alias("_z"))
 
     def squeeze(batches):
         press = zstandard.ZstdCompressor(level=3)
@@ -198,19 +222,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def finish(docs: list, kind: pa.DataType) -> pa.RecordBatch:
         cols: dict[str, list] = {k: [] for k in ("id", "text", "spans", "n", "removed", "sha")}
         for own, z, starts in docs:
-            t = unzip.decompress(z).decode()
-            words = t.encode().split()
+            words = unzip.decompress(z).split()
             gone = np.zeros(len(words) + 1, np.int32)
-            _, windows = _halves(word_hashes(t, False))
-            repeats = np.zeros(len(windows), bool)
-            repeats[np.concatenate(starts).astype(np.int64) if starts else []] = True
-            if len(windows):
-                local = _repeated_here(windows)
-                if local is not None:
-                    repeats |= local
-                at = np.flatnonzero(repeats)
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + WINDOW, -1)
+            at = np.concatenate(starts).astype(np.int64)          # each once
+            gone[at] += 1
+            gone[at + WINDOW] -= 1
             out = np.cumsum(gone[:-1]) > 0
             spans = _runs(out)
             kept = b" ".join(w for w, x in zip(words, out.tolist()) if not x) if spans else b" ".join(words)

@@ -149,3 +149,23 @@ def test_op6_plan_is_native(spark, sf_dir):
 def test_shingle_sets_hash_distinct_sequences():
     for _, t in edge_rows():
         assert len(ngram_join.shingle_set(t or "")) == len(shingles(t))
+
+
+def test_op5_marks_repeats_inside_a_row_where_it_is_hashed(monkeypatch):
+    # the last step gets all starts, and hashes no text again; rows in one stretch do not run into each other
+    import pyarrow as pa
+    import zstandard
+
+    passage = [f"w{i}" for i in range(25)]
+    texts = [" ".join(passage + ["x"] + passage), "", " ".join(passage[:19]), " ".join(passage[19:] + passage)]
+    full = np.full(1 << (substring.SLICE_BITS + substring.WIDE - 3), 255, np.uint8)
+    batch = pa.RecordBatch.from_pydict({"_row": [7, 8, 9, 10], "_order": [1, 2, 3, 4], "_text": texts})
+    found = [r for b in substring._probe(iter([batch]), full, full) for r in b.to_pylist()]
+    assert sorted((r["_row"], r["_start"]) for r in found) == sorted(
+        [(7, i) for i in range(26)] + [(7, -1 - i) for i in range(26, 32)] + [(10, i) for i in range(12)])
+    monkeypatch.setattr(substring, "word_hashes", None)
+    press = zstandard.ZstdCompressor().compress
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * 7), pa.array([-1, *range(26, 32)], pa.int32()), pa.array([{"doc_id": 1}] + [None] * 6),
+                                       pa.array([press(texts[0].encode())] + [None] * 6, pa.binary())], names=["_row", "_start", "_id", "_z"])
+    cut = [r for b in substring._cut(iter([rows])) for r in b.to_pylist()]
+    assert [(r["text"], r["n_words"], r["n_removed"]) for r in cut] == [(" ".join(passage + ["x"]), 51, 25)]
