@@ -109,3 +109,18 @@ def test_phrases_of_a_slice_are_counted_before_they_are_sent(spark, monkeypatch)
     rows = spark.createDataFrame([(t,) for t in samples], "t string").select("t", F.xxhash64("t").alias("h")).collect()
     vocabulary = collocations._Vocabulary()
     assert all(vocabulary.hashes[vocabulary[r.t.encode()]] == r.h % 2**64 for r in rows)
+
+
+def test_fingerprints_go_to_the_shuffle_as_slices_count_them(spark, monkeypatch):
+    # few fingerprints come twice in a task: gathering them before the shuffle was a table of nearly all rows (it spilled)
+    plans, stage = {}, collocations.stage
+
+    def seen(df):
+        plans[tuple(df.columns)] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df)
+
+    monkeypatch.setattr(collocations, "stage", seen)
+    frame = spark.createDataFrame([("a b. b a. a b c", "x")] * 10, "text string, lang string")
+    assert got(collocations.collocations(frame)) == mine([("a b. b a. a b c", "x")] * 10)
+    plan = plans["fp", "f"]
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan.split("Exchange")[1]
