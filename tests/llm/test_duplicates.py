@@ -169,3 +169,26 @@ def test_op5_marks_repeats_inside_a_row_where_it_is_hashed(monkeypatch):
                                        pa.array([press(texts[0].encode())] + [None] * 6, pa.binary())], names=["_row", "_start", "_id", "_z"])
     cut = [r for b in substring._cut(iter([rows])) for r in b.to_pylist()]
     assert [(r["text"], r["n_words"], r["n_removed"]) for r in cut] == [(" ".join(passage + ["x"]), 51, 25)]
+
+
+def test_op9_bitmaps_drop_no_pair_that_links():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 31, 32, 33, 40, 500, 513, 3000):
+        for m in {n, max(1, n * 3 // 4), max(1, n * 4 // 5), n + n // 4}:
+            for common in range(int(ngram_join.needed(n, m)), min(n, m) + 1, max(1, n // 50)):
+                a, b, c = (rng.integers(0, 2**64, k, dtype=np.uint64) for k in (n - common, m - common, common))
+                x, y = np.sort(np.append(a, c)), np.sort(np.append(b, c))
+                assert ngram_join.can_link(n, m, ngram_join.member_bits(x), ngram_join.member_bits(y))
+    x, y = (np.sort(rng.integers(0, 2**64, 500, dtype=np.uint64)) for _ in range(2))
+    assert not ngram_join.can_link(500, 500, ngram_join.member_bits(x), ngram_join.member_bits(y))       # their sets stay where they are
+
+
+def test_op9_first_round_compares_small_blocks_whole_and_large_ones_with_pivots(spark):
+    # one pivot a block before: members of a block were mostly left to the last round, whose pairs grow with the square of its size
+    def pairs(members):
+        blocks = spark.createDataFrame([(7, k, 100, 0) for k in range(members)], "_token long, _key long, _n int, _at int")
+        return ngram_join._pairs(blocks, None, 0).count()
+
+    first = ngram_join.PIVOTS[0]
+    assert pairs(10) == 45
+    assert pairs(60) == first * (first - 1) // 2 + first * (60 - first)
