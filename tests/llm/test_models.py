@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from brute import edge_rows, edge_table, words
 
 from sheetloom.llm import eftrie, language_model, neighbours, quality, toxicity
@@ -244,3 +245,25 @@ def test_op8_takes_every_word_and_ngram(spark):
     for i, t in tokens.items():
         want = sum(math.log10(p(t, j)) for j in range(1, len(t)))
         assert abs(got[i] - want) < 0.0005 * len(t), (i, got[i], want)
+
+
+def test_op8_counts_an_order_in_shares_and_answers_with_bits():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 200)) for _ in range(20)]
+    batch = pa.RecordBatch.from_pydict({"_block": pa.array([0] * 10 + [1] * 10), "_id": pa.array(range(20)), "_learn": pa.array([True] * 20), "_text": pa.array(texts)})
+    blocks = list(language_model._in_blocks([batch]))
+    assert [len(b.column("_ids")[0]) for b in blocks] == [10, 10]
+    bare = [b.drop_columns(["_ids"]) for b in blocks]
+    shards = 6
+    shares = [pa.Table.from_batches(language_model._ask(shards, 2, part, 2)(iter(bare))) for part in range(2)]
+    assert [set(x.column("_shard").to_pylist()) for x in shares] == [{0, 2, 4}, {1, 3, 5}]
+    asked = pa.concat_tables(shares)
+    told = pa.concat_tables([language_model._settle(shards, 2)(asked.filter(pa.array(asked.column("_shard").to_numpy() == i)), None) for i in range(shards)])
+    s, _ = language_model._tokens(texts)
+    every, counts = np.unique(language_model._grams(s, 2)[1][1], return_counts=True)
+    for block in (0, 1):
+        s, _ = language_model._tokens(texts[10 * block:10 * block + 10])
+        own = np.unique(language_model._grams(s, 2)[1][1])
+        n, _ = language_model._answers(told.filter(pa.array(told.column("_block").to_numpy() == block)), 2, own, shards)
+        total = counts[np.searchsorted(every, own)]
+        assert (n == np.where(total >= language_model.LEAST, total, 0)).all()

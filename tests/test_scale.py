@@ -1,11 +1,13 @@
 """Plans that must stay as they are for large tables; every test builds its own rows."""
 import contextlib
+import time
 
 from pyspark.sql import functions as F
 
 from sheetloom.operators import nodes as ND
 from sheetloom.operators import profile as P
 from sheetloom.operators import segment as S
+from sheetloom.operators import staging
 from sheetloom.operators import validate as V
 from sheetloom.operators.ordered import Last, number_rows, running
 from sheetloom.sources import documents as D
@@ -94,3 +96,17 @@ def test_profile_counts_cells_once(spark):
     assert "Range (" not in plan(out)
     row = out.collect()[0]
     assert (row["rows"], row.distinct_n, row.top_values[0]["count"]) == (50, 4, 13)
+
+
+def test_stage_leaves_no_shuffle_files_and_no_settings(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = disk.getAllFiles().size()
+    settings = {k: spark.conf.get(k, None) for k in staging._WHILE_WRITING}
+    out = staging.stage(spark.range(10_000).repartition(8, "id"))
+    for _ in range(50):
+        if disk.getAllFiles().size() <= before:
+            break
+        time.sleep(0.2)
+    assert disk.getAllFiles().size() <= before
+    assert {k: spark.conf.get(k, None) for k in staging._WHILE_WRITING} == settings
+    assert out.count() == 10_000
