@@ -3,10 +3,11 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 from brute import components, edge_rows, edge_table, shingles, without_repeats, words
 
+from sheetloom.llm import common, fingerprint, ngram_join, substring
 from sheetloom.llm import components as cc
-from sheetloom.llm import fingerprint, ngram_join, substring
 from sheetloom.llm.queries import QUERIES
 
 
@@ -192,3 +193,15 @@ def test_op9_first_round_compares_small_blocks_whole_and_large_ones_with_pivots(
     first = ngram_join.PIVOTS[0]
     assert pairs(10) == 45
     assert pairs(60) == first * (first - 1) // 2 + first * (60 - first)
+
+
+def test_op9_workers_give_free_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "hand_back", lambda: given.append(True))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["x"]) for n in (2_500, 10, 0)]
+    assert [b.num_rows for b in common.in_slices(iter(batches))] == [1_000, 1_000, 500, 10]
+    assert len(given) >= 4
+    given.clear()
+    rows = [pa.RecordBatch.from_arrays([pa.array([1, 1, 2]), pa.array([k, k + 1, k]), pa.array([9, 9, 9], pa.int32()), pa.array([0, 0, 0], pa.int32())],
+                                       names=["_token", "_key", "_n", "_at"]) for k in (1, 1, 1)]
+    assert sum(b.num_rows for b in ngram_join._live(iter(rows[:1]))) == 2 and len(given) == 1
