@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, whole
+from .common import in_slices, stage, whole
 
 SAMPLE_DOCS = 8_000      # documents the scorer is fitted on, about so many, chosen by a hash of the text
 DIMENSIONS = 2_048
@@ -125,7 +125,7 @@ class Model:
 
 
 def _vote(batches):
-    for batch in batches:
+    for batch in in_slices(batches):
         found = ["".join(map(str, votes(t))) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["votes"])
 
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, false_alar
     hashed = read.select(F.xxhash64("_text").alias("_h"), "_text").filter(F.pmod("_h", F.lit(share)) == 0)
 
     def describe(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column(1).to_pylist()
             cast = [votes(t) for t in texts]
             x = [features(t, v).tobytes() for t, v in zip(texts, cast)]
@@ -191,7 +191,7 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
     id_type = df.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             s = np.array([model.score(t) for t in batch.column(1).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(s >= threshold)], names=[doc_id, "score", "keep"])
 

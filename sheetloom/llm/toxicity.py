@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stage, whole
+from .common import fold, in_slices, stage, whole
 
 SAMPLE_DOCS = 40_000     # labelled rows the model is fitted on, about so many, chosen by a hash of the id
 BUCKETS = 1 << 18
@@ -114,7 +114,7 @@ def _count(batches):
     """Documents of each label that hold each bucket, in blocks."""
     total = np.zeros((2, BUCKETS), np.int64)
     docs = np.zeros(2, np.int64)
-    for batch in batches:
+    for batch in in_slices(batches):
         for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = set(words_of(t))
             found = np.unique(np.array([b for w in words for b in buckets_of(w)], np.int64))
@@ -173,7 +173,7 @@ def fit(sample: DataFrame) -> Model:
 
     def describe(batches):
         reader = empty.reader()
-        for batch in batches:
+        for batch in in_slices(batches):
             own, other = [], []
             for t in batch.column(0).to_pylist():
                 words = words_of(t)
@@ -198,7 +198,7 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
 
     def run(batches):
         reader = model.reader()
-        for batch in batches:
+        for batch in in_slices(batches):
             s = np.array([reader.score(t) for t in batch.column(1).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                                              names=[doc_id, "score", "predicted"])

@@ -267,3 +267,12 @@ def test_op8_counts_an_order_in_shares_and_answers_with_bits():
         n, _ = language_model._answers(told.filter(pa.array(told.column("_block").to_numpy() == block)), 2, own, shards)
         total = counts[np.searchsorted(every, own)]
         assert (n == np.where(total >= language_model.LEAST, total, 0)).all()
+
+
+def test_classifiers_read_a_slice_at_a_time():
+    texts = pa.array([f"word{i} and more words" for i in range(2_500)])
+    votes = list(quality._vote(iter([pa.RecordBatch.from_arrays([texts], names=["_text"])])))
+    assert [b.num_rows for b in votes] == [1_000, 1_000, 500]
+    labelled = pa.RecordBatch.from_arrays([texts, pa.array([i % 2 for i in range(2_500)], pa.int32())], names=["_text", "_y"])
+    counted = list(toxicity._count(iter([labelled])))
+    assert len(counted) == 1 and [r for r in counted[0].to_pylist() if r["_bucket"] == -1] == [{"_bucket": -1, "_toxic": 1_250, "_clean": 1_250}]
