@@ -35,6 +35,8 @@ BROADCAST_FORMS = 400_000
 BROADCAST_CHARS = 8_000_000
 #: Tasks over which the pairs of one lang's sources are dealt.
 PAIR_SPLIT = 16
+#: So many (lang, source) groups may reach every task, a row each; tables of terms and vectors never do.
+BROADCAST_GROUPS = 100_000
 
 
 def _ppb(count: Column, total: Column, kept: Column) -> Column:
@@ -49,6 +51,11 @@ def _gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """The table, joined by a shuffle however small Spark takes it to be."""
+    return df.hint("merge")
+
+
 class _Numbers(dict):
     """Numbers of keys in the order in which they are first met."""
 
@@ -128,17 +135,20 @@ def audit(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, top
                          F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).distinct()
     kept = counts.select("lang", "term").distinct()
     width = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    sizes = (groups.join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left")
-             .join(width, "lang", "left")
-             .select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v")))
-    group_p = (counts.join(sizes, ["lang", "source"])
+    sizes = stage(groups.join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left")
+                  .join(width, "lang", "left")
+                  .select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v")))
+    # Spark sizes tables by their files, whose bytes say little of terms, and of vectors before they are
+    # repeated; so the side to send is named here, and the sides that grow are never sent through the driver
+    sent = F.broadcast if sizes.count() <= BROADCAST_GROUPS else _shuffled
+    group_p = (counts.join(sent(sizes), ["lang", "source"])
                .select("lang", "source", "term", _ppb(F.col("count"), F.col("n"), F.col("v")).alias("p")))
     lang_counts = counts.groupBy("lang", "term").agg(F.sum("count").alias("count"))
-    lang_p = (lang_counts.join(lang_counts.groupBy("lang").agg(F.sum("count").alias("n")), "lang").join(width, "lang")
+    lang_p = (lang_counts.join(sent(lang_counts.groupBy("lang").agg(F.sum("count").alias("n"))), "lang").join(sent(width), "lang")
               .select("lang", "term", _ppb(F.col("count"), F.col("n"), F.col("v")).alias("q")))
 
     by_value = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item"))
-    term_part = (group_p.join(lang_p, ["lang", "term"]).where(F.col("p") > F.col("q"))
+    term_part = (group_p.join(_shuffled(lang_p), ["lang", "term"]).where(F.col("p") > F.col("q"))
                  .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
                  .withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top))
 
@@ -148,15 +158,15 @@ def audit(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, top
     index = index.withColumn("_b", F.pmod(F.col("i"), F.lit(PAIR_SPLIT)))
     spread = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SPLIT - 1))))
     zero = _ppb(F.lit(0).cast("long"), F.col("n"), F.col("v"))
-    dense = (spread.join(index, ["lang", "_b"]).join(group_p, ["lang", "source", "term"], "left")
+    dense = (spread.join(_shuffled(index), ["lang", "_b"]).join(_shuffled(group_p), ["lang", "source", "term"], "left")
              .select("lang", "source", "i", F.coalesce("p", zero).alias("p")))
     vectors = stage(sizes.select("lang", "source").join(
-        dense.groupBy("lang", "source").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("_v")), ["lang", "source"], "left")
+        _shuffled(dense.groupBy("lang", "source").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("_v"))), ["lang", "source"], "left")
         .select("lang", "source", F.coalesce(F.transform("_v", lambda x: x["p"]), F.array().cast("array<long>")).alias("vec")))
     left = vectors.withColumn("_b", F.pmod(F.xxhash64("source"), F.lit(PAIR_SPLIT)).cast("int"))
     right = vectors.select("lang", F.col("source").alias("item"), F.col("vec").alias("other"),
                            F.explode(F.sequence(F.lit(0), F.lit(PAIR_SPLIT - 1))).alias("_b"))
-    pair_part = (left.join(right, ["lang", "_b"]).where(F.col("source") != F.col("item"))
+    pair_part = (left.join(_shuffled(right), ["lang", "_b"]).where(F.col("source") != F.col("item"))
                  .select("lang", "source", F.lit("pair").alias("part"), "item",
                          F.aggregate(F.zip_with("vec", "other", _gap), F.lit(0).cast("long"), lambda a, x: a + x).alias("value"))
                  .withColumn("rank", F.row_number().over(by_value)))

@@ -98,3 +98,20 @@ def test_op13_counts_terms_after_one_shuffle(spark):
         divergence._count_terms, "lang string, source string, term string, count long, n_docs long")
     assert {(r.lang, r.source, r.term, r["count"], r.n_docs) for r in sent.collect()} == {
         ("en", "a", "the", 6, 2), ("en", "a", "end", 1, 1), ("en", "b", "the", 1, 1), ("", "b", "the", 1, 1)}
+
+
+def test_op13_sends_no_terms_and_no_vectors_through_the_driver(spark, monkeypatch):
+    rows = [("the a b the", "en", s) for s in ("a", "b", "c")] * 4 + [("der die", "de", s) for s in ("a", "b")] * 3 + [(None, None, None)]
+    frame = spark.createDataFrame(rows, "text string, lang string, source string")
+    plans, stage = [], divergence.stage
+    monkeypatch.setattr(divergence, "stage", lambda df: (plans.append(df), stage(df))[1])
+    for bound in (divergence.BROADCAST_GROUPS, 0):
+        monkeypatch.setattr(divergence, "BROADCAST_GROUPS", bound)
+        plans.clear()
+        out = divergence.audit(frame, least_docs=2)
+        assert got(out) == audit(rows, 2)
+        # on small tables Spark itself would send every side
+        for df in [*plans, out]:
+            text = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            for sent in re.findall(r"\) BroadcastExchange.*\nInput \[\d+\]: \[(.*)\]", text):
+                assert not re.search(r"\b(term|vec|other|_v)#", sent), sent
