@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.grid import ROW, TABLE, cell_columns
 from .ordered import Last, Total, running
-from .staging import stage
+from .staging import COMPILED, stage
 
 TYPES = ("bool", "int", "float", "date", "str")   # fixed values: cell type tags
 COLUMN = (TABLE, "col_idx")
@@ -92,7 +92,7 @@ def profile(cells: DataFrame, k: int = 8, cap: int = 200, cap_keys: bool = False
     if not exact:
         return _sketch_profile(cells, k, cap)
     # both parts read the counts, so cells are counted once
-    keys = stage(key_counts(cells))
+    keys = stage(key_counts(cells), COMPILED)
     top = (top_values(keys, k, cap if cap_keys else None).groupBy(*COLUMN)
            .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
                             lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count")))

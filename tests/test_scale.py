@@ -110,3 +110,12 @@ def test_stage_leaves_no_shuffle_files_and_no_settings(spark):
     assert disk.getAllFiles().size() <= before
     assert {k: spark.conf.get(k, None) for k in staging._WHILE_WRITING} == settings
     assert out.count() == 10_000
+
+
+def test_stage_holds_its_settings_while_it_writes(spark, monkeypatch):
+    seen, key = [], next(iter(staging.COMPILED))
+    before, df = spark.conf.get(key, None), spark.range(3)
+    real = type(df.write).parquet
+    monkeypatch.setattr(type(df.write), "parquet", lambda self, path: (seen.append(spark.conf.get(key)), real(self, path))[1])
+    assert staging.stage(df, staging.COMPILED).count() == 3
+    assert seen == [staging.COMPILED[key]] and spark.conf.get(key, None) == before
