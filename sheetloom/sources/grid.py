@@ -54,11 +54,13 @@ def _as_text(field) -> Column:
     return c.cast("string")
 
 
-def to_cells(grid: DataFrame, infer: bool = False) -> DataFrame:
+def to_cells(grid: DataFrame, infer: bool = False, apart: bool = False) -> DataFrame:
     """Long cells ``(table_id, row_idx, col_idx, header, value, cell_type)``.
 
     The type tag comes from the Spark type of the column; with ``infer`` string
-    columns are tagged from the text of each cell.
+    columns are tagged from the text of each cell.  ``apart`` reads the grid once a
+    column, for a grid that lies in files by column: a task then has cells of one column,
+    and what is not asked for of them is not made.
     """
     fields = [f for f in grid.schema.fields if f.name not in ADDRESS]
     cells = []
@@ -66,7 +68,11 @@ def to_cells(grid: DataFrame, infer: bool = False) -> DataFrame:
         value, tag = _as_text(f), T.type_tag(f.dataType.simpleString())
         known = T.cell_type(value) if infer and tag == "str" else F.when(value.isNotNull(), tag)
         cells += [F.lit(i), F.lit(f.name), value, known]
-    return grid.select(*ADDRESS, F.stack(F.lit(len(fields)), *cells).alias("col_idx", "header", "value", "cell_type"))
+    names = ("col_idx", "header", "value", "cell_type")
+    if apart and cells:
+        own = [[c.alias(n) for c, n in zip(cells[i:i + 4], names)] for i in range(0, len(cells), 4)]
+        return reduce(DataFrame.unionByName, [grid.select(*ADDRESS, *c) for c in own])
+    return grid.select(*ADDRESS, F.stack(F.lit(len(fields)), *cells).alias(*names))
 
 
 def catalog(tables: Mapping[str, DataFrame]) -> DataFrame:

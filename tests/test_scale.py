@@ -11,6 +11,7 @@ from sheetloom.operators import staging
 from sheetloom.operators import validate as V
 from sheetloom.operators.ordered import Last, number_rows, running
 from sheetloom.sources import documents as D
+from sheetloom.sources.grid import to_cells
 from workload import fixtures
 
 
@@ -112,6 +113,29 @@ def test_stage_leaves_no_shuffle_files_and_no_settings(spark):
     assert out.count() == 10_000
 
 
+def test_cells_read_apart_are_the_same_and_made_when_asked_for(spark, tmp_path):
+    rows = [("t", i, i, float(i) / 4, None if i % 3 else f" x{i}", i % 2 == 0) for i in range(1, 9)] + [("u", 1, None, None, None, None)]
+    spark.createDataFrame(rows, "table_id string, row_idx long, a int, b double, c string, d boolean").write.parquet(str(tmp_path / "g"))
+    grid = spark.read.parquet(str(tmp_path / "g"))
+    for infer in (False, True):
+        apart, stacked = to_cells(grid, infer, apart=True), to_cells(grid, infer)
+        assert apart.dtypes == stacked.dtypes
+        assert sorted(map(str, apart.collect())) == sorted(map(str, stacked.collect()))
+    sizes = plan(to_cells(grid, apart=True).groupBy("table_id").agg(F.max("row_idx")))
+    assert "Generate" not in sizes and "ReadSchema: struct<table_id:string,row_idx:bigint>" in sizes and "b:double" not in sizes
+
+
+def test_typed_cells_are_not_written(spark, tmp_path):
+    kinds = {"int": "cast(id % 7 as int)", "str": "concat('s', id % 3)", "float": "id / 4.0D", "date": "date_add(date'2020-01-01', cast(id as int))"}
+    for t, cols in fixtures.TYPED.items():
+        spark.range(6).selectExpr(*(f"{kinds[k]} as {c}" for c, k in cols)).write.parquet(str(tmp_path / f"{t}.parquet"))
+    cells = fixtures.typed_cells(spark, str(tmp_path))
+    assert "value:string" not in plan(cells) and "Generate" not in plan(cells)
+    assert cells is fixtures.typed_cells(spark, str(tmp_path))
+    assert cells.count() == 6 * sum(map(len, fixtures.TYPED.values()))
+    assert {(r.table_id, r.header): r.value for r in cells.filter("row_idx = 1").collect()}["orders", "o_orderstatus"] == "s0"
+
+
 def test_stage_holds_its_settings_while_it_writes(spark, monkeypatch):
     seen, key = [], next(iter(staging.COMPILED))
     before, df = spark.conf.get(key, None), spark.range(3)

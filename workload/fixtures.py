@@ -196,13 +196,15 @@ def typed_grid(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def typed_cells(spark: SparkSession, d: str) -> DataFrame:
-    def build():
-        parts = [to_cells(typed_grid(spark, d, t)) for t in TYPED]
+    """Cells of the numbered tables: those are written once, the cells are made where they are read."""
+    key = ("typed_cells", spark.sparkContext.applicationId, d)
+    if key not in _memo:
+        parts = [to_cells(typed_grid(spark, d, t), apart=True) for t in TYPED]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out
-    return _once("typed_cells", spark, d, build)
+        _memo[key] = out
+    return _memo[key]
 
 
 # ---- JSON documents: one per event ----------------------------------------------------------
