@@ -218,6 +218,8 @@ def suggest_roles(prof: DataFrame, boundary: DataFrame) -> DataFrame:
 
 def enum_candidates(keys: DataFrame, max_values: int = 15) -> DataFrame:
     """Text columns with few distinct values, and the values."""
+    # both sides read the counts, so cells are counted once
+    keys = stage(keys.select(*COLUMN, "header", "key", "n", "n_str"), COMPILED)
     small = keys.filter(F.col("key").isNotNull()).groupBy(*COLUMN, "header").agg(
         F.count(F.lit(1)).alias("distinct_n"), F.sum("n_str").alias("n_str"), F.sum("n").alias("n"))
     small = small.filter(F.col("distinct_n").between(2, max_values) & (F.col("n_str") * 2 > F.col("n")))

@@ -136,6 +136,13 @@ def test_typed_cells_are_not_written(spark, tmp_path):
     assert {(r.table_id, r.header): r.value for r in cells.filter("row_idx = 1").collect()}["orders", "o_orderstatus"] == "s0"
 
 
+def test_enum_candidates_count_cells_once(spark):
+    cells = spark.range(60).selectExpr("'t' as table_id", "id + 1 as row_idx", "0 as col_idx", "'h' as header", "concat('v', id % 4) as value", "'str' as cell_type")
+    out = P.enum_candidates(P.key_counts(cells))
+    assert "Range (" not in plan(out)
+    assert [tuple(r) for r in out.collect()] == [("t", 0, "h", 4, ["v0", "v1", "v2", "v3"])]
+
+
 def test_stage_holds_its_settings_while_it_writes(spark, monkeypatch):
     seen, key = [], next(iter(staging.COMPILED))
     before, df = spark.conf.get(key, None), spark.range(3)
